@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import spelling
+from factweave.llm import linkage, spelling
 from factweave.session import table
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Items that are shares of listed companies, with issuer and confidence."""
+    return linkage.link_securities(table(spark, d, "kodex_holding_items"), table(spark, d, "krx_kind_companies"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_links(spark, d).select("item_id", "issuer_code")
+
+
 def _linked_aliases(spark: SparkSession, d: str) -> DataFrame:
     return spelling.link_aliases(table(spark, d, "entity_aliases"), table(spark, d, "canonical_products"), table(spark, d, "canonical_entities"))
 
@@ -25,7 +34,7 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_classes": p5_classes}
+    return {"p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_classes": p5_classes}
 
 
 def oracle_sql() -> dict[str, str]:
