@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 # The letters of Hangul in the order of the Unicode block, in Revised Romanization.
 INITIALS = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
@@ -18,7 +17,9 @@ LEGAL = re.compile(r"\(주\)|㈜|주식회사|\bcompany limited\b|\bco\b\.?,?\s*
 HANGUL = re.compile("[가-힣]")
 
 
-@lru_cache(maxsize=65536)
+_PATTERNS: dict[str, re.Pattern] = {}
+
+
 def latin(text: str) -> str:
     """Hangul syllables romanized one by one, other characters kept."""
     out = []
@@ -52,7 +53,7 @@ def pulled(text: str, words: dict[str, str], where: str = "any") -> tuple[str, s
     """
     best: tuple[int, int, str] | None = None
     for word, meaning in words.items():
-        pattern = _pattern(word)
+        pattern = word_pattern(word)
         for found in pattern.finditer(text):
             if where == "end" and text[found.end() :].strip(" .,-_·"):
                 continue
@@ -66,8 +67,8 @@ def pulled(text: str, words: dict[str, str], where: str = "any") -> tuple[str, s
     return f"{text[: span[0]]} {text[span[1] :]}".strip(), best[2]
 
 
-@lru_cache(maxsize=4096)
-def _pattern(word: str) -> re.Pattern:
-    if HANGUL.search(word):
-        return re.compile(r"\s*".join(map(re.escape, word)))
-    return re.compile(rf"(?<![a-z]){re.escape(word)}(?![a-z])")
+def word_pattern(word: str) -> re.Pattern:
+    """A word of a table: Korean with blanks anywhere in it, Latin as a whole word."""
+    if word not in _PATTERNS:
+        _PATTERNS[word] = re.compile(r"\s*".join(map(re.escape, word)) if HANGUL.search(word) else rf"(?<![a-z]){re.escape(word)}(?![a-z])")
+    return _PATTERNS[word]
