@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import linkage, spelling, survivor
-from factweave.session import table
+from factweave.llm import linkage, mixing, packing, spelling, subjects, survivor, tokens
+from factweave.session import checkpointed, table
 
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
@@ -49,8 +49,39 @@ def p6_resolved(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d).withColumnRenamed("survivor", "winning_fact_id").withColumn("status", F.lit("RESOLVED"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in containers of every size."""
+    sized = checkpointed(tokens.token_counts(table(spark, d, "documents"), ["doc_id"]))
+    return packing.document_containers(sized, table(spark, d, "container_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p8_containers(spark, d), ["container_name"])
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The selection with its schedule, one row per use of a document."""
+    sized = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"])
+    return mixing.mixture(sized, table(spark, d, "mixture_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    return mixing.shares_reached(p9_mixture(spark, d), table(spark, d, "mixture_targets"))
+
+
+def p10_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's subjects with the part of its sentences on each."""
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "document_subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_subjects(spark, d).select("doc_id", "subject")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p6_resolved": p6_resolved}
+    return {"p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p6_resolved": p6_resolved, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_subjects": p10_subjects}
 
 
 _P6_SQL = """
