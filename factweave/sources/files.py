@@ -55,9 +55,9 @@ def report_csv(spark: SparkSession, path: str, header_prefix: str, columns: Sequ
 
     The header is the first line with the prefix and must name exactly the columns; rows end at the first blank line.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("l"))
     head = F.array_position(F.transform("l", lambda x: F.startswith(F.regexp_replace(x, '"', ""), F.lit(header_prefix))), True)
-    body = whole.select("file", F.element_at("l", 2).alias("second"), F.try_element_at("l", head.cast("int")).alias("header"), F.slice("l", (head + 1).cast("int"), F.size("l")).alias("rows"))
+    body = whole.select("file", F.element_at("l", 2).alias("second"), F.when(head > 0, F.try_element_at("l", F.greatest(head, F.lit(1)).cast("int"))).alias("header"), F.slice("l", (head + 1).cast("int"), F.size("l")).alias("rows"))
     wanted = ",".join(columns)
     judged = body.withColumn("header", F.when(F.regexp_replace("header", '"', "") == wanted, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("header differs in "), F.col("file")))))
     end = F.coalesce(F.nullif(F.array_position(F.transform("rows", lambda x: F.trim(x) == ""), True), F.lit(0)), F.size("rows") + 1)
