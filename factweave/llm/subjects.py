@@ -75,10 +75,14 @@ def word_features(word: str, size: int) -> np.ndarray:
     return np.array(sorted({zlib.crc32(g.encode()) % size for g in grams | {"=" + word}}), dtype=np.int64)
 
 
+#: Rows summed at a time, and documents worked on at a time.
+GATHER, CHUNK = 100_000, 1000
+
+
 class Lexicon:
     """Words met by a task, with features and embeddings; forgotten when there are too many."""
 
-    def __init__(self, size: int, limit: int = 200_000) -> None:
+    def __init__(self, size: int, limit: int = 50_000) -> None:
         self.size, self.limit = size, limit
         self.clear()
 
@@ -86,8 +90,7 @@ class Lexicon:
         self.words: dict[str, int] = {}
         self.features: list[np.ndarray] = []
         self.known: dict[str, np.ndarray] = {}
-        self.flat = np.zeros(0, np.int64)
-        self.start = np.zeros(1, np.int64)
+        self.embedded: np.ndarray | None = None
 
     def full(self) -> bool:
         return len(self.words) > self.limit or len(self.known) > self.limit
@@ -112,12 +115,15 @@ class Lexicon:
         return flat, np.repeat(np.arange(len(counts)), counts), counts
 
     def embed(self, matrix: np.ndarray) -> np.ndarray:
-        """Mean of the matrix's rows over each word's features."""
-        flat, _, counts = self.spread()
-        if not len(counts):
-            return np.zeros((0, matrix.shape[1]), np.float32)
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        return np.add.reduceat(matrix[flat], starts, axis=0).astype(np.float32) / counts[:, None]
+        """Mean of the matrix's rows over each word's features; a task asks with one matrix, so old words are kept."""
+        have = 0 if self.embedded is None else len(self.embedded)
+        new = self.features[have:]
+        if new:
+            counts = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+            means = gathered(matrix, np.concatenate(new), np.repeat(np.arange(len(new)), counts), len(new)) / counts[:, None]
+            means = means.astype(np.float32)
+            self.embedded = means if self.embedded is None else np.concatenate([self.embedded, means])
+        return np.zeros((0, matrix.shape[1]), np.float32) if self.embedded is None else self.embedded
 
 
 @dataclass
@@ -154,14 +160,18 @@ class Batch:
         return (np.bincount(self.doc_of_sentence, self.korean, minlength=self.n) * 2 > total).astype(np.int64)
 
 
-def summed(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by group."""
-    out = np.zeros((n, values.shape[1]), dtype=np.float64)
-    if len(groups):
-        order = np.argsort(groups, kind="stable")
-        g = groups[order]
+def gathered(matrix: np.ndarray, rows: np.ndarray, groups: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Weighted sums of a matrix's rows by group, worked off in blocks, so memory does not follow the text."""
+    out = np.zeros((n, matrix.shape[1]), dtype=np.float64)
+    for i in range(0, len(groups), GATHER):
+        g = groups[i : i + GATHER]
+        order = np.argsort(g, kind="stable")
+        values = matrix[rows[i : i + GATHER][order]].astype(np.float64)
+        if weights is not None:
+            values *= weights[i : i + GATHER][order, None]
+        g = g[order]
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        out[g[first]] = np.add.reduceat(values[order].astype(np.float64), first, axis=0)
+        out[g[first]] += np.add.reduceat(values, first, axis=0)
     return out
 
 
@@ -169,6 +179,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, CHUNK):
+            yield batch.slice(i, CHUNK)
+
+
 def _passes(docs: DataFrame, p: Parameters, width: int, step: Callable[[Batch, Lexicon], np.ndarray], by_word: bool, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sum over all documents of a matrix of features x width (and of ``extra`` further rows).
 
@@ -185,11 +201,11 @@ def _passes(docs: DataFrame, p: Parameters, width: int, step: Callable[[Batch, L
             nonlocal held
             if by_word and len(held):
                 flat, owner, _ = lexicon.spread()
-                total[: p.features] += summed(held[owner], flat, p.features)
+                total[: p.features] += gathered(held, owner, flat, p.features)
             held = np.zeros((0, width))
 
-        for batch in batches:
-            b = Batch.read(batch.column(0), batch.column(1).to_pylist(), lexicon)
+        for chunk in chunks(batches):
+            b = Batch.read(chunk.column(0), chunk.column(1).to_pylist(), lexicon)
             got = step(b, lexicon)
             n = len(lexicon.features) if by_word else p.features
             if by_word:
@@ -231,7 +247,7 @@ def sentence_table(documents: DataFrame) -> DataFrame:
     """doc_id, sentences of every text; NULL or empty texts have none. Written once, read by every pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sentences(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "sentences"])
 
     spark = documents.sparkSession
@@ -262,7 +278,7 @@ class SubjectModel:
 
     def doc_vectors(self, b: Batch, lexicon: Lexicon, emb: np.ndarray) -> np.ndarray:
         d, w, tf = b.counts(len(lexicon.features))
-        return unit(summed(tf[:, None] * emb[w], d, b.n))
+        return unit(gathered(emb, w, d, b.n, tf))
 
     def posterior(self, vectors: np.ndarray, scripts: np.ndarray) -> np.ndarray:
         score = self.p.softness * np.einsum("nd,ncd->nc", vectors, self.centroids[scripts])
@@ -271,7 +287,7 @@ class SubjectModel:
 
     def sentence_vectors(self, b: Batch, emb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Vectors, lengths and nearness to each subject's centroid in the sentence's script."""
-        vectors = summed(emb[b.word], b.sentence_of_word, len(b.doc_of_sentence))
+        vectors = gathered(emb, b.word, b.sentence_of_word, len(b.doc_of_sentence))
         length = np.linalg.norm(vectors, axis=1)
         near = np.einsum("nd,ncd->nc", unit(vectors), self.centroids[b.korean]) if len(vectors) else np.zeros((0, len(self.subjects)))
         return vectors, length, near
@@ -303,9 +319,9 @@ def _singular_vectors(docs: DataFrame, idf: np.ndarray, p: Parameters) -> np.nda
         def step(b: Batch, lexicon: Lexicon, weighted=weighted) -> np.ndarray:
             emb = lexicon.embed(weighted.value)
             d, w, tf = b.counts(len(lexicon.features))
-            vectors = unit(summed(tf[:, None] * emb[w], d, b.n))
+            vectors = unit(gathered(emb, w, d, b.n, tf))
             _, _, counts = lexicon.spread()
-            return summed(tf[:, None] * vectors[d], w, len(lexicon.features)) / np.maximum(counts, 1)[:, None]
+            return gathered(vectors, d, w, len(lexicon.features), tf) / np.maximum(counts, 1)[:, None]
 
         total, _ = _passes(docs, p, p.rank, step, by_word=True)
         weighted.unpersist()
@@ -355,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, p: Parameters)
             m = SubjectModel.of(shared.value)
             post = m.posterior(m.doc_vectors(b, lexicon, lexicon.embed(m.matrix)), b.scripts())
             d, w, _ = b.counts(len(lexicon.features))
-            return np.concatenate([summed(post[d], w, len(lexicon.features)), post.sum(axis=0, keepdims=True)])
+            return np.concatenate([gathered(post, d, w, len(lexicon.features)), post.sum(axis=0, keepdims=True)])
 
         counts, corpus = _passes(docs, p, c, step, by_word=True, extra=1)
         shared.unpersist()
@@ -416,7 +432,7 @@ def assign(docs: DataFrame, model: SubjectModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = SubjectModel.of(shared.value)
         c, lexicon = len(m.subjects), Lexicon(m.p.features)
-        for batch in batches:
+        for batch in chunks(batches):
             b = Batch.read(batch.column(0), batch.column(1).to_pylist(), lexicon)
             emb = lexicon.embed(m.matrix)
             _, length, near = m.sentence_vectors(b, emb)
