@@ -23,6 +23,8 @@ from factweave.session import checkpointed
 BLOCK_ITEMS, FAN_IN = 8192, 64
 #: Containers filled less than this are packed again at the next level.
 HANDED_ON = 0.995
+#: Tasks over which a level's blocks are spread at most.
+MAX_TASKS = 20_000
 #: Improvements tried in a block per container.
 TRIES = 60
 
@@ -118,6 +120,7 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def items_of(sized: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     """(full, items): containers filled by one document's parts, and what is left to pack. Both doc_id, piece, tokens."""
+    sized = sized.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
     over = F.col("tokens") > capacity
     n_full = F.floor(F.col("tokens") / capacity).cast("int")
     full = sized.where(over).select("doc_id", F.explode(F.sequence(F.lit(0), n_full - 1)).alias("piece"), F.lit(capacity).cast("bigint").alias("tokens"))
@@ -126,7 +129,7 @@ def items_of(sized: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     return full, items.where(~F.col("_over") | (F.col("tokens") > 0)).drop("_over")
 
 
-def _pack_blocks(items: DataFrame, capacity: int, level: int, hand_on: bool) -> DataFrame:
+def _pack_blocks(items: DataFrame, capacity: int, level: int, blocks: int) -> DataFrame:
     """Items with ``container`` (NULL if handed on); each block is one group of bounded size."""
     kind = dict(items.dtypes)["doc_id"]
 
@@ -135,19 +138,22 @@ def _pack_blocks(items: DataFrame, capacity: int, level: int, hand_on: bool) ->
         block = table["block"][0].as_py()
         container: list[str | None] = [None] * len(sizes)
         for k, members in enumerate(pack(sizes, capacity)):
-            if hand_on and sum(sizes[i] for i in members) < HANDED_ON * capacity:
+            if blocks > 1 and sum(sizes[i] for i in members) < HANDED_ON * capacity:
                 continue
             for i in members:
                 container[i] = f"{level}-{block}-{k}"
         return table.select(["doc_id", "piece", "tokens", "block"]).append_column("container", pa.array(container, pa.string()))
 
-    return items.groupBy("block").applyInArrow(run, f"doc_id {kind}, piece int, tokens bigint, block bigint, container string")
+    # a stated number of partitions, or adaptive execution puts many blocks, small in bytes, into one task
+    spread = items.repartition(min(blocks, MAX_TASKS), "block") if blocks > 1 else items
+    return spread.groupBy("block").applyInArrow(run, f"doc_id {kind}, piece int, tokens bigint, block bigint, container string")
 
 
 def containers(sized: DataFrame, capacity: int) -> DataFrame:
     """container_id, doc_id, piece, tokens for (doc_id, tokens): every document in one piece unless over the capacity.
 
-    One count a level comes to the driver. A capacity below 1 is an error.
+    One count a level comes to the driver. A NULL size counts as 0, as do empty documents, which lie in some container
+    too; an empty table gives no rows; a document given twice is laid twice. A capacity below 1 is an error.
     """
     if capacity < 1:
         raise ValueError(f"a container of {capacity} tokens holds nothing")
@@ -157,7 +163,7 @@ def containers(sized: DataFrame, capacity: int) -> DataFrame:
     blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
     rest = items.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks).cast("bigint"))).select("doc_id", "piece", "tokens", "block")
     for level in range(32):
-        packed = _pack_blocks(rest, capacity, level, hand_on=blocks > 1)
+        packed = _pack_blocks(rest, capacity, level, blocks)
         if blocks == 1:
             return out.unionByName(packed.select(F.col("container").alias("container_id"), "doc_id", "piece", "tokens"))
         packed = checkpointed(packed)
