@@ -58,7 +58,8 @@ def ready_sequence(snapshots: DataFrame) -> DataFrame:
 def snapshot_rows(rows: DataFrame, dataset: Column, snapshot: Column, key: Column, content: Column, version: Column, ready: DataFrame) -> DataFrame:
     """dataset, key, seq, content: one row per key and READY snapshot, of repeated rows that of the latest version.
 
-    Rows without dataset, key or a READY snapshot are left out.
+    Rows without dataset, key or a READY snapshot are left out; a NULL version is the earliest, of equal versions the
+    greatest content counts. Other columns are dropped, whatever their names.
     """
     day = F.try_to_date(F.regexp_replace(snapshot, "[^0-9]", ""), "yyyyMMdd")
     kept = rows.select(F.trim(dataset).alias("dataset"), day.alias("day"), F.trim(key).alias("key"), F.struct(version.alias("v"), content.alias("c")).alias("_state")).where("key IS NOT NULL")

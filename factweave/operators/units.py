@@ -193,7 +193,8 @@ def observation_units(observations: DataFrame, contracts: DataFrame) -> DataFram
 def common_values(observations: DataFrame, contracts: DataFrame, rates: DataFrame) -> DataFrame:
     """Each observation once (the latest row of a fact_id) with ``common_value`` in ``canonical_unit``.
 
-    The rates are a small fixed table and the only rows that reach the driver.
+    ``common_value`` is NULL without a number, a unit or a rate for the day; rows without fact_id are left out; an
+    empty table gives no rows; other columns are dropped, whatever their names. The rates are a small fixed table and the only rows that reach the driver.
     """
     columns = ["fact_id", "metric_code", "subject_entity_id", "raw_value", "numeric_value", "unit", "scale_basis", "weight_scale", "currency", "observed_on", "source_dataset", "recorded_at"]
     read = observation_units(observations.select(*columns).where("fact_id IS NOT NULL"), contracts)
@@ -207,7 +208,7 @@ def common_values(observations: DataFrame, contracts: DataFrame, rates: DataFram
 def disagreeing_pairs(values: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """fact_id_1 < fact_id_2 of the same subject, metric and day whose values differ by more than the tolerance.
 
-    The pairs are the result asked for; a skewed key is split by the adaptive skew join.
+    Facts without a value or a day make no pair. The pairs are the result asked for; a skewed key is split by the adaptive skew join.
     """
     keys = ["subject_entity_id", "metric_code", "observed_on"]
     known = values.where(F.col("common_value").isNotNull() & F.col("observed_on").isNotNull()).select(*keys, "fact_id", "common_value")

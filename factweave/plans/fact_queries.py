@@ -16,7 +16,7 @@ from factweave.functions import text as ftext
 from factweave.operators import entity, findings, graph, merge, predicates, projection, quality, ranking, text
 from factweave.operators.graph import Hop
 from factweave.operators.predicates import Field, Filter, Tree
-from factweave.plans.request import Catalog, Contract, Request, Sort, run
+from factweave.plans.request import Catalog, Contract, Request, Sort, gate, run
 from factweave.session import table
 from factweave.sources import files as connectors
 
@@ -260,6 +260,22 @@ def metric_latest_valid(s, d):
     return ranking.latest(rows, ["subject_entity_id", "metric_code"], "observed_on", "fact_id", ["fact_id"], F.lit("2026-08-24").cast("date")).select("subject_entity_id", "metric_code", "fact_id", "observed_on")
 
 
+_REFUSED = [
+    ("counted", Request(wishes=("count",))),
+    ("unknown_field", Request(filters=(Filter("a", "colour", "eq", ("red",)),))),
+    ("wrong_operator", Request(filters=(Filter("a", "region", "gt", ("ASIA",)),))),
+    ("no_contract", Request(sort=(Sort("size"),))),
+    ("wrong_universe", Request(sort=(Sort("price"),), universe="moon")),
+    ("allowed", Request(filters=(Filter("a", "size", "gt", (1,)),))),
+]
+
+
+@query("SELECT * FROM (VALUES ('counted', 'count is not offered'), ('unknown_field', 'unknown field colour'), ('wrong_operator', 'region does not take gt'), ('no_contract', 'size has no contract to sort by'), ('wrong_universe', 'price can''t be compared in moon'), ('wrong_universe', 'unknown universe moon')) t(request, reason)")
+def refusals(s, d):
+    catalog = _catalog(s, d)
+    return s.createDataFrame([(name, reason) for name, request in _REFUSED for reason in gate(request, catalog)], "request string, reason string")
+
+
 # --- Projections ------------------------------------------------------------------------------------------------------
 
 
