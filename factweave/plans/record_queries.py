@@ -180,8 +180,36 @@ _PAYLOAD = """coalesce(nullif(regexp_extract(lower(raw_payload_hash), '[0-9a-f]{
 _PRODUCT = "concat_ws('|', " + ", ".join(f"coalesce(trim(CAST({c} AS VARCHAR)), '~')" for c in ("canonical_product_id", "product_type", "product_name", "short_name", "normalized_product_name", "ticker", "isin", "asset_manager", "issuer", "asset_type", "invest_region", "currency", "aum", "nav", "price", "expense_ratio", "base_index")) + ")"
 
 
+def _p7_values_sql() -> str:
+    first = lambda pairs: "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in pairs) + " END"
+    number = lambda x: f"try_cast(nullif(regexp_replace({x}, '[,\\s]', '', 'g'), '') AS DOUBLE)"
+    part = lambda mark: f"coalesce({number(f'regexp_extract(t, $$([0-9][0-9,]*(?:[.][0-9]+)?)\\s*{mark}$$, 1)')}, 0)"
+    rate = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in units.COLUMN_RATES.items()) + " END"
+    scale = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in units.COLUMN_SCALES.items()) + " END"
+    factor = "CASE scale " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in units.SCALES.items()) + " END"
+    rates = "CASE rate " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in units.RATES.items()) + " END"
+    return f"""
+m AS (SELECT * FROM metric_observations QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY recorded_at DESC NULLS LAST) = 1),
+k AS (SELECT metric, CASE WHEN max(unit) IN ('CURRENCY_AMOUNT', 'COUNT') THEN max(unit) ELSE 'RATE' END AS kind FROM comparison_contracts GROUP BY 1),
+r AS (SELECT m.*, k.kind AS k_kind, c.unit AS k_unit, c.scale_basis AS k_scale, c.currency AS k_currency, replace(trim(raw_value, E' \\t\\n\\r'), '％', '%') AS t
+  FROM m LEFT JOIN k ON metric_code = k.metric LEFT JOIN comparison_contracts c ON metric_code = c.metric AND source_dataset = c.dataset),
+s AS (SELECT *, coalesce(regexp_matches(t, '[0-9]\\s*[조억만천]\\s*[0-9]'), false) AS several, {first(units.TEXT_CURRENCIES)} AS t_currency, {first(units.TEXT_RATES)} AS t_rate, coalesce(regexp_matches(t, '{units.TEXT_COUNTS}'), false) AS t_count, {first(units.TEXT_SCALES)} AS t_scale FROM r),
+v AS (SELECT *, coalesce(CASE WHEN several THEN {part('조')} * 1e12 + {part('억')} * 1e8 + {part('만')} * 1e4 + {part('천')} * 1e3 ELSE {number("regexp_extract(t, '([+-]?[ ]*[0-9][0-9,]*(?:[.][0-9]+)?)', 1)")} END, numeric_value::DOUBLE) AS number,
+    coalesce(CASE WHEN several THEN 'UNIT' ELSE t_scale END, CASE WHEN t_currency IS NOT NULL OR t_count THEN 'UNIT' END, {scale('scale_basis')}, {scale('k_scale')}) AS scale,
+    coalesce(t_currency, currency, k_currency) AS cur,
+    coalesce(t_rate, {rate('weight_scale')}, {rate('unit')}, {rate('scale_basis')}, {rate('k_scale')}, {rate('k_unit')}) AS rate,
+    coalesce(k_kind, CASE WHEN unit = 'CURRENCY_AMOUNT' OR scale_basis = 'CURRENCY_UNIT' THEN 'CURRENCY_AMOUNT' WHEN unit = 'COUNT' THEN 'COUNT' WHEN unit IS NOT NULL THEN 'RATE' END) AS kind FROM s),
+x AS (SELECT v.*, CASE kind WHEN 'RATE' THEN number * {rates} WHEN 'COUNT' THEN number * {factor} WHEN 'CURRENCY_AMOUNT' THEN number * {factor} * CASE WHEN cur = 'KRW' THEN 1 ELSE krw_amount / quoted_units END END AS common_value
+  FROM v LEFT JOIN currency_rates f ON v.cur = f.currency AND v.observed_on = f.rate_date)"""
+
+
+def _p7_sql() -> str:
+    return f"WITH {_p7_values_sql()} SELECT a.fact_id AS fact_id_1, b.fact_id AS fact_id_2 FROM x a JOIN x b ON a.subject_entity_id = b.subject_entity_id AND a.metric_code = b.metric_code AND a.observed_on = b.observed_on AND a.fact_id < b.fact_id WHERE abs(a.common_value - b.common_value) > 0.01 * greatest(abs(a.common_value), abs(b.common_value))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_found": _p7_sql(),
         "p1_found": _p1_sql("line_id", "NOT valid OR valid IS NULL"),
         "p1_holdings": _p1_sql(_P1_HOLDINGS, "valid"),
         "p2_found": f"{_CELLS_SQL} SELECT source_record_id, source_column FROM f GROUP BY ALL HAVING NOT bool_or(fits)",
