@@ -50,9 +50,9 @@ def incomparable(evidence: DataFrame, contract: Sequence[str]) -> DataFrame:
 
 def low_coverage(entities: DataFrame, evidence: DataFrame, fields: Sequence[str], least: float) -> DataFrame:
     """Fields that too few of the entities have a value for."""
-    total = entities.agg(F.count_distinct("entity_id").alias("_all"))
+    total = entities.agg(F.count_distinct("entity_id")).scalar()
     have = evidence.where(F.col("value").isNotNull() & F.col("field").isin(list(fields))).groupBy("field").agg(F.count_distinct("entity_id").alias("_have"))
-    rows = have.crossJoin(F.broadcast(total)).where(F.col("_have") / F.col("_all") < least).withColumn("entity_id", F.lit(None).cast("string"))
+    rows = have.withColumn("_all", total).where(F.col("_have") / F.col("_all") < least).withColumn("entity_id", F.lit(None).cast("string"))
     return _row(rows, "LOW_COVERAGE", "BLOCKING", F.round(F.col("_have") / F.col("_all"), 6))
 
 

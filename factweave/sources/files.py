@@ -114,7 +114,7 @@ HOLDINGS_PAYLOAD = "struct<pdf:struct<gijunYMD:string,totalCnt:int,nowCnt:int,li
 
 def json_holdings(payloads: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame]:
     """(items, problems) of holdings payloads; a payload whose declared count differs from its list is a problem."""
-    parsed = payloads.select(key, F.from_json(F.col(payload), HOLDINGS_PAYLOAD.replace("struct<pdf", "struct<pdf", 1)).alias("p"))
+    parsed = payloads.select(key, F.from_json(F.col(payload), HOLDINGS_PAYLOAD).alias("p"))
     n = F.coalesce(F.size("p.pdf.list"), F.lit(0))
     right = F.coalesce(F.col("p.pdf.totalCnt") == n, F.lit(False))
     items = parsed.where(right).select(key, F.col("p.pdf.gijunYMD").alias("gijunYMD"), F.inline("p.pdf.list"))

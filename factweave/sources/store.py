@@ -31,8 +31,7 @@ def inserted(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> Da
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: row count and an order-free digest of the columns' contents."""
-    h = F.xxhash64(*[F.col(c) for c in columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.expr("bit_xor(h)").alias("digest")) if "h" in df.columns else df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("digest"))
+    return df.select(F.xxhash64(*columns).alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("digest"))
 
 
 def unchanged(manifest: DataFrame, dataset: str, parts: dict[str, str]) -> bool:

@@ -11,7 +11,7 @@ def catalog(spark):
     base = spark.createDataFrame([(i, f"n{i}", i % 3) for i in range(6)], "id int, name string, size int")
     region = spark.createDataFrame([(0, "A"), (1, "A"), (1, "B"), (2, "B"), (3, None)], "id int, value string")
     flag = spark.createDataFrame([(0, "y")], "id int, value string")
-    metrics = spark.createDataFrame([(0, "p", "d", "u", None, None, True, 1, "f1", 5.0), (1, "p", "d", "u", None, None, True, 2, "f2", 7.0), (1, "p", "d", "u", None, None, True, 1, "f0", 9.0), (2, "p", "x", "u", None, None, True, 1, "f3", 99.0), (4, "p", "d", "u", None, None, False, 1, "f4", 99.0)], "entity_id int, metric string, dataset string, unit string, scale string, currency string, comparable boolean, observed_on timestamp_ntz, fact_id string, value double" if False else "entity_id int, metric string, dataset string, unit string, scale string, currency string, comparable boolean, day int, fact_id string, value double")
+    metrics = spark.createDataFrame([(0, "p", "d", "u", None, None, True, 1, "f1", 5.0), (1, "p", "d", "u", None, None, True, 2, "f2", 7.0), (1, "p", "d", "u", None, None, True, 1, "f0", 9.0), (2, "p", "x", "u", None, None, True, 1, "f3", 99.0), (4, "p", "d", "u", None, None, False, 1, "f4", 99.0)], "entity_id int, metric string, dataset string, unit string, scale string, currency string, comparable boolean, day int, fact_id string, value double")
     metrics = metrics.selectExpr("*", "cast(date_add(date'2026-01-01', day) as timestamp_ntz) AS observed_on")
     fields = {"name": Field("attribute", "name"), "size": Field("attribute", "size"), "region": Field("classification", facts=region), "flag": Field("flag", facts=flag), "tier": Field("vocabulary", facts=region, ranks={"B": 1, "A": 2})}
     return Catalog(base, "id", fields, metrics, {"p": Contract("p", "d", "u")})
