@@ -129,10 +129,10 @@ def candidate_edges(mentions: DataFrame, companies: DataFrame, small: bool) -> D
     mention's edges are too, whatever number of mentions there is.
     """
     company = companies.select("issuer_code", F.explode("attributes").alias("attribute")).distinct()
-    total = companies.agg(F.count_distinct("issuer_code").alias("n"))
+    total = companies.agg(F.count_distinct("issuer_code")).scalar()
     df = company.groupBy("attribute").agg(F.count("*").alias("df"))
     weight = F.when(F.col("attribute").startswith("c:"), 4.0).when(F.col("attribute").startswith("n:"), 3.0).otherwise(1.0)
-    index = company.join(df, "attribute").crossJoin(F.broadcast(total)).select("attribute", "issuer_code", (weight * F.log(1 + F.col("n") / F.col("df"))).alias("w"))
+    index = company.join(df, "attribute").withColumn("n", total).select("attribute", "issuer_code", (weight * F.log(1 + F.col("n") / F.col("df"))).alias("w"))
     index = F.broadcast(index) if small else index.hint("merge")
     edges = mentions.select("mention", F.explode("attributes").alias("attribute")).join(index, "attribute").groupBy("mention", "issuer_code").agg(F.sum("w").alias("weight"))
     heaviest = edges.withColumn("top", F.max("weight").over(Window.partitionBy("mention")))

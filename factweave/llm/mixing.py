@@ -154,6 +154,6 @@ def mixture(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
 def shares_reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, tokens, actual_share, documents, most_uses for every target, reached or not."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"), F.max("use").alias("most_uses"))
-    total = got.agg(F.sum("tokens").alias("_total"))
-    rows = targets.select(notation(F.col("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left").crossJoin(F.broadcast(total))
+    total = got.agg(F.sum("tokens")).scalar()
+    rows = targets.select(notation(F.col("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left").withColumn("_total", total)
     return rows.select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.col("_total")).alias("actual_share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
