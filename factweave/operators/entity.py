@@ -76,3 +76,38 @@ def name_key(name: Column) -> Column:
     """A lookup key in the JVM: lower case, no blanks, legal forms dropped."""
     bare = F.regexp_replace(F.lower(F.trim(name)), r"\(주\)|㈜|주식회사|\b(co|inc|ltd|corp|plc)\b\.?", "")
     return F.regexp_replace(bare, r"[\s.,]+", "")
+
+
+def lookup_keys(name: Column, suffixes: Sequence[str]) -> Column:
+    """The name's key and the keys without one of the suffixes, each once: what a lookup tries."""
+    whole = name_key(name)
+    cut = [F.when(F.endswith(whole, F.lit(s)) & (F.length(whole) > len(s)), F.substring(whole, F.lit(1), F.length(whole) - len(s))) for s in suffixes]
+    return F.array_distinct(F.array_compact(F.array(F.nullif(whole, F.lit("")), *cut)))
+
+
+def in_role(hits: DataFrame, relations: DataFrame, relation: str) -> DataFrame:
+    """Hits that are targets of a relation: a manager's name binds to managers only."""
+    targets = relations.where(F.col("relation") == relation).select(F.col("object").alias("entity_id")).distinct()
+    return hits.join(targets, "entity_id", "left_semi")
+
+
+def with_open_cases(hits: DataFrame, mention: str, cases: DataFrame, closed: Sequence[str] = ("RESOLVED", "REJECTED")) -> DataFrame:
+    """hits and the candidates (a JSON list) of collisions still open for the mention, so that they show as ambiguous."""
+    still = cases.where(~F.upper(F.trim("status")).isin(list(closed)) | F.col("status").isNull())
+    found = still.select(F.col("key").alias(mention), F.explode(F.from_json("candidates", "array<string>")).alias("entity_id"))
+    return hits.select(mention, "entity_id").unionByName(found.join(hits.select(mention).distinct(), mention, "left_semi")).distinct()
+
+
+def exchange_ticker(text: Column) -> tuple[Column, Column, Column]:
+    """(ticker, exchange, bound) of "KRX:005930", "AAPL.O" or "005930". A bare foreign ticker names no one security."""
+    plain = F.upper(F.trim(text))
+    before, after = F.regexp_extract(plain, r"^([A-Z]+):([A-Z0-9]+)$", 1), F.regexp_extract(plain, r"^([A-Z0-9]+)\.([A-Z]{1,3})$", 2)
+    exchange = F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit("")))
+    ticker = F.regexp_replace(plain, r"^[A-Z]+:|\.[A-Z]{1,3}$", "")
+    return ticker, exchange, exchange.isNotNull() | ticker.rlike("^[0-9A-Z]{6}$") & ticker.rlike("[0-9]")
+
+
+def compatible_kinds(mention: Column, name: Column, kinds: Sequence[str]) -> Column:
+    """Whether two organisation names end in the same kind, or one of them in none."""
+    of = lambda c: F.coalesce(*[F.when(F.endswith(name_key(c), F.lit(k)), F.lit(k)) for k in sorted(kinds, key=len, reverse=True)])
+    return F.coalesce(of(mention) == of(name), F.lit(True))

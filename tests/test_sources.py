@@ -113,3 +113,17 @@ def test_quality_edges(spark):
     assert (r[0]["p"], r[0]["q"], r[0]["m"], r[1]["m"]) == ("a", None, {"p": " a ", "q": "NULL"}, {})
     dates = spark.createDataFrame([("20260230",), ("2026.02-28",), ("99991231",), ("",), ("2026/02/28",)], "d string")
     assert [x[0] for x in dates.select(quality.dated(F.col("d"))[1]).collect()] == ["INVALID", "INVALID", "SENTINEL", "MISSING", "VALID"]
+
+
+def test_lookup_helpers(spark):
+    df = spark.createDataFrame([("가나 자산운용(주)", "KRX:005930"), ("AB Trust Ltd", "aapl.o"), (None, "AAPL"), ("", "005930")], "n string, t string")
+    rows = df.select(entity.lookup_keys(F.col("n"), ["자산운용", "trust"]).alias("k"), *[c.alias(x) for c, x in zip(entity.exchange_ticker(F.col("t")), "tex")]).collect()
+    assert [r["k"] for r in rows] == [["가나자산운용", "가나"], ["abtrust", "ab"], [], []]
+    assert [(r["t"], r["e"], r["x"]) for r in rows] == [("005930", "KRX", True), ("AAPL", "O", True), ("AAPL", None, False), ("005930", None, True)]
+    hits = spark.createDataFrame([("m", "e1"), ("q", "e2")], "m string, entity_id string")
+    cases = spark.createDataFrame([("m", '["e1","e3"]', "OPEN"), ("q", '["e4"]', "RESOLVED"), ("z", '["e5"]', None)], "key string, candidates string, status string")
+    assert sorted(map(tuple, entity.with_open_cases(hits, "m", cases).collect())) == [("m", "e1"), ("m", "e3"), ("q", "e2")]
+    edges = spark.createDataFrame([("MANAGED_BY", "e2")], "relation string, object string")
+    assert [r["m"] for r in entity.in_role(hits, edges, "MANAGED_BY").collect()] == ["q"]
+    pair = spark.createDataFrame([("가나신탁", "가나 신탁", True), ("가나신탁", "가나캐피탈", False), ("가나", "가나캐피탈", True)], "a string, b string, w boolean")
+    assert all(r[0] == r[1] for r in pair.select(entity.compatible_kinds(F.col("a"), F.col("b"), ["신탁", "캐피탈"]), "w").collect())
