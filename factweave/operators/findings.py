@@ -73,3 +73,26 @@ def empty_result(candidates: int, evidenced: int) -> str | None:
     if evidenced:
         return None
     return "INSUFFICIENT_EVIDENCE" if candidates else "ZERO_MATCH"
+
+
+def step_problems(statuses: dict[str, str]) -> list[tuple[str, str]]:
+    """(code, step) of the steps that did not succeed: each blocks the answer."""
+    codes = {"FAILED": "STEP_FAILED", "TIMED_OUT": "STEP_TIMED_OUT", "SKIPPED": "STEP_SKIPPED"}
+    return [(codes[s], name) for name, s in statuses.items() if s in codes]
+
+
+def receipt_problems(asked: Sequence[str], applied: Sequence[str], has_or: bool = False, or_applied: bool = False, sorted_by: str | None = None, ranked_by: str | None = None) -> list[tuple[str, str]]:
+    """What was asked but not applied, or applied unasked: constraints, an OR, the order."""
+    out = [("CONSTRAINT_NOT_APPLIED", k) for k in asked if k not in applied] + [("CONSTRAINT_NOT_ASKED", k) for k in applied if k not in asked]
+    if has_or and not or_applied:
+        out.append(("OR_NOT_APPLIED", "tree"))
+    if sorted_by is not None and sorted_by != ranked_by:
+        out.append(("RANKING_NOT_APPLIED", sorted_by))
+    return out
+
+
+def snapshots_differ(evidence: DataFrame, policy: dict[str, str]) -> DataFrame:
+    """Fields whose values come from several snapshots; the severity is the field's, BLOCKING if none is given."""
+    rows = evidence.groupBy("field").agg(F.count_distinct("snapshot_id").alias("_n")).where("_n > 1").withColumn("entity_id", F.lit(None).cast("string"))
+    table = F.create_map(*[F.lit(x) for pair in (policy or {"": "BLOCKING"}).items() for x in pair])
+    return _row(rows, "SNAPSHOT_MISMATCH", F.coalesce(F.try_element_at(table, F.col("field")), F.lit("BLOCKING")), F.col("_n"))

@@ -108,3 +108,28 @@ def identifier(value: Column) -> tuple[Column, Column]:
     """(normalized ISIN-like identifier, validation): VALIDATED, ZERO or INVALID."""
     text = F.upper(F.trim(value))
     return text, F.when(text.isNull() | (text == ""), None).when(text.rlike("^0+$"), "ZERO").when(text.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$"), "VALIDATED").otherwise("INVALID")
+
+
+def proportion(percent: Column) -> Column:
+    """A percentage from 0 to 100 as a proportion; others NULL."""
+    number = decimal_of(percent.cast("string"), 10)
+    return F.when(number.between(0, 100), (number / 100).cast("decimal(38,12)"))
+
+
+def cutoff_violations(df: DataFrame, on: str, cutoff: str) -> DataFrame:
+    """Rows dated after the cutoff, or not dated."""
+    return df.where(F.col(on).isNull() | (F.col(on) > F.lit(cutoff).cast("date")))
+
+
+def released_scope(items: DataFrame, product: str, status: Column, ready: str, links: DataFrame, sources: DataFrame, on: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, links, problems) of products whose every row is ready.
+
+    Links and sources are followed by ``item_id`` and ``source_id``. Problems, which must be empty, are links without a
+    source and products with more than one day.
+    """
+    whole = items.groupBy(product).agg(F.bool_and(F.coalesce(status == ready, F.lit(False))).alias("_ready"), F.count_distinct(on).alias("_days"))
+    kept = items.join(whole.where("_ready").select(product), product, "left_semi")
+    used = links.join(kept.select("item_id"), "item_id", "left_semi")
+    lost = used.join(sources.select("source_id"), "source_id", "left_anti").select(F.lit("NO_SOURCE").alias("problem"), F.col("source_id").cast("string").alias("key"))
+    days = whole.where("_ready AND _days > 1").select(F.lit("SEVERAL_DAYS").alias("problem"), F.col(product).cast("string").alias("key"))
+    return kept, used, lost.unionByName(days)

@@ -127,3 +127,19 @@ def test_lookup_helpers(spark):
     assert [r["m"] for r in entity.in_role(hits, edges, "MANAGED_BY").collect()] == ["q"]
     pair = spark.createDataFrame([("가나신탁", "가나 신탁", True), ("가나신탁", "가나캐피탈", False), ("가나", "가나캐피탈", True)], "a string, b string, w boolean")
     assert all(r[0] == r[1] for r in pair.select(entity.compatible_kinds(F.col("a"), F.col("b"), ["신탁", "캐피탈"]), "w").collect())
+
+
+def test_scopes_and_receipts(spark):
+    items = spark.createDataFrame([(1, "a", "READY", dt.date(2026, 1, 1)), (2, "a", "READY", dt.date(2026, 1, 1)), (3, "b", "READY", dt.date(2026, 1, 1)), (4, "b", "BAD", None), (5, "c", "READY", dt.date(2026, 1, 1)), (6, "c", "READY", dt.date(2026, 1, 2))], "item_id int, p string, s string, d date")
+    links = spark.createDataFrame([(1, "x"), (3, "y"), (5, "z")], "item_id int, source_id string")
+    kept, used, problems = quality.released_scope(items, "p", F.col("s"), "READY", links, links.where("source_id <> 'z'").select("source_id"), "d")
+    assert sorted(r["item_id"] for r in kept.collect()) == [1, 2, 5, 6]
+    assert sorted(r["source_id"] for r in used.collect()) == ["x", "z"]
+    assert sorted(map(tuple, problems.collect())) == [("NO_SOURCE", "z"), ("SEVERAL_DAYS", "c")]
+    assert [r["item_id"] for r in quality.cutoff_violations(items, "d", "2026-01-01").orderBy("item_id").collect()] == [4, 6]
+    p = spark.createDataFrame([("12.5",), ("101",), ("-1",), ("x",), (None,)], "v string").select(quality.proportion(F.col("v"))).collect()
+    assert [None if x[0] is None else float(x[0]) for x in p] == [0.125, None, None, None, None]
+    assert findings.step_problems({"a": "SUCCESS", "b": "FAILED", "c": "SKIPPED"}) == [("STEP_FAILED", "b"), ("STEP_SKIPPED", "c")]
+    assert findings.receipt_problems(["a", "b"], ["a", "c"], True, False, "m", None) == [("CONSTRAINT_NOT_APPLIED", "b"), ("CONSTRAINT_NOT_ASKED", "c"), ("OR_NOT_APPLIED", "tree"), ("RANKING_NOT_APPLIED", "m")]
+    e = spark.createDataFrame([("f", "s1"), ("f", "s2"), ("g", "s1")], "field string, snapshot_id string")
+    assert findings.snapshots_differ(e, {"f": "WARNING"}).collect()[0]["severity"] == "WARNING"
