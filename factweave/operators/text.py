@@ -19,7 +19,7 @@ def bm25(docs: DataFrame, doc: str, text: str, query: Sequence[str], limit: int
 
     ``docs`` is what remains after filters and candidates; its number, mean length and document frequencies decide
     the scores. Repeated query tokens count as often as given. Only per-document counts of query tokens are computed:
-    nothing is exploded, and the statistics are one scalar subquery.
+    nothing is exploded, and nothing but the one row of statistics is broadcast.
     """
     weights: dict[str, int] = {}
     for q in query:
@@ -32,7 +32,8 @@ def bm25(docs: DataFrame, doc: str, text: str, query: Sequence[str], limit: int
     tf = [F.size(F.filter("_t", equals(q))).alias(f"_tf{i}") for i, q in enumerate(terms)]
     rows = held.select(doc, F.size("_t").alias("_len"), *tf)
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).cast("double").alias(f"_df{i}") for i in range(len(terms))])
-    both = rows.withColumn("_s", stats.select(F.struct("*")).scalar())
+    # one row; as a scalar subquery the score would inline the tokens into every term and extract them again each time
+    both = rows.join(F.broadcast(stats.select(F.struct("*").alias("_s"))))
     score = F.lit(0.0)
     for i, q in enumerate(terms):
         idf = F.log(1 + (F.col("_s._n") - F.col(f"_s._df{i}") + 0.5) / (F.col(f"_s._df{i}") + 0.5))
