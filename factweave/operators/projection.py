@@ -37,8 +37,14 @@ def relation_names(relations: DataFrame, subject: str, target: str, entities: Da
 
 
 def provenance(evidence: DataFrame, entity: str, sets: dict[str, str]) -> DataFrame:
-    """entity and, for each (out, column), the sorted set of the column's values."""
-    return evidence.groupBy(entity).agg(*[joined_set(F.col(c).cast("string")).alias(out) for out, c in sets.items()])
+    """entity and, for each (out, column), the sorted set of the column's values.
+
+    Each (entity, value) meets the aggregation once, so an entity with many assertions costs no more than its values.
+    Lists, not sets, are collected: Catalyst drops a distinct below a set.
+    """
+    rows = evidence.select(entity, *[F.col(c).cast("string").alias(out) for out, c in sets.items()]).unpivot(entity, list(sets), "_set", "_value").distinct()
+    listed = lambda out: F.array_sort(F.collect_list(F.when(F.col("_set") == out, F.col("_value"))))
+    return rows.groupBy(entity).agg(*[F.nullif(F.array_join(listed(out), "|"), F.lit("")).alias(out) for out in sets])
 
 
 def long_records(df: DataFrame, entity: str, fields: Sequence[str]) -> DataFrame:

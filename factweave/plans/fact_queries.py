@@ -303,6 +303,12 @@ def provenance_sets(s, d):
     return projection.provenance(rows, "canonical_product_id", {"datasets": "source_dataset", "records": "source_record_id"})
 
 
+@query("SELECT canonical_product_id, string_agg(DISTINCT source_dataset, '|' ORDER BY source_dataset) AS datasets, string_agg(DISTINCT source_record_id, '|' ORDER BY source_record_id) AS records FROM source_field_assertions GROUP BY 1")
+def provenance_sets_all(s, d):
+    """Of every product, the hot ones too."""
+    return projection.provenance(table(s, d, "source_field_assertions"), "canonical_product_id", {"datasets": "source_dataset", "records": "source_record_id"})
+
+
 @query("UNPIVOT (SELECT p_partkey, CAST(p_name AS VARCHAR) AS p_name, CAST(p_type AS VARCHAR) AS p_type, CAST(p_size AS VARCHAR) AS p_size FROM part) ON p_name, p_type, p_size INTO NAME field VALUE value")
 def project_long_records(s, d):
     return projection.long_records(table(s, d, "part"), "p_partkey", ["p_name", "p_type", "p_size"])
