@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed values of near matching.
-ACCEPT, MARGIN, LEAST, MAX_CANDIDATES, MIN_LENGTH, FRAGMENT = 0.9, 0.03, 0.55, 10, 3, 3
+ACCEPT, MARGIN, LEAST, MAX_CANDIDATES, MIN_LENGTH, MIN_LENGTH_PRODUCT, FRAGMENT = 0.9, 0.03, 0.55, 10, 3, 5, 3
+#: Fixed values that change no result: mentions of a task, buckets of characters, the most that rounding adds.
+PART, BUCKETS, ROUNDING = 256, 64, 1e-6
 
 
 def exact_tiers(mentions: DataFrame, mention: str, tiers: Sequence[DataFrame]) -> DataFrame:
@@ -33,23 +35,77 @@ def resolution(mentions: DataFrame, mention: str, hits: DataFrame) -> DataFrame:
     return rows.select(mention, n.alias("candidates"), F.when(n == 1, "RESOLVED").when(n > 1, "AMBIGUOUS").otherwise("UNRESOLVED").alias("status"), F.when(n == 1, F.col("_e")).alias("entity_id"))
 
 
-@F.pandas_udf(T.DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks, rounded to 6."""
-    return pd.Series([round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6) if x is not None and y is not None else None for x, y in zip(a, b)])
-
-
-def near_matches(mentions: DataFrame, mention: str, names: DataFrame) -> DataFrame:
-    """mention, entity_id, likeness, status: candidates that share the first or last three characters.
-
-    Names are normalized before. The best is RESOLVED if it is like enough and ahead of the next entity by the margin;
-    otherwise at most ten CANDIDATE rows remain.
+def _bags(names: Sequence[str]) -> np.ndarray:
+    """Characters of each name counted in buckets."""
+    out = np.zeros((len(names), BUCKETS), np.uint16)
+    for i, name in enumerate(names):
+        for c in name:
+            out[i, ord(c) * 2654435761 % 2**32 % BUCKETS] += 1
+    return out
+
+
+def _common(masks: dict[str, int], length: int, name: str) -> int:
+    """Length of the longest common subsequence with the text that the masks hold: no fewer characters than blocks match."""
+    v = whole = (1 << length) - 1
+    for c in name:
+        u = v & masks.get(c, 0)
+        v = (v + u | v - u) & whole
+    return length - v.bit_count()
+
+
+def _best(mention: str, names: Sequence[str], entities: Sequence[str], lengths: np.ndarray, bags: np.ndarray, allowed: np.ndarray) -> list[tuple[str, float]]:
+    """The likest entities, in order. Names are tried by an upper bound of likeness, until none can be among the first."""
+    near = np.flatnonzero(allowed & (2 * np.minimum(lengths, len(mention)) / (lengths + len(mention)) >= LEAST - ROUNDING))
+    bounds = 2 * np.minimum(bags[near], _bags([mention])).sum(1) / (lengths[near] + len(mention))
+    masks: dict[str, int] = {}
+    for i, c in enumerate(mention):
+        masks[c] = masks.get(c, 0) | 1 << i
+    found: dict[str, float] = {}
+    least = LEAST
+    for at in np.argsort(-bounds, kind="stable"):
+        if bounds[at] < least - ROUNDING:
+            break
+        name, e = names[near[at]], entities[near[at]]
+        total = len(mention) + len(name)
+        if 2 * _common(masks, len(mention), name) / total < max(least, found.get(e, 0)) - ROUNDING:
+            continue
+        ratio = round(SequenceMatcher(None, mention, name, autojunk=False).ratio(), 6)
+        if ratio >= least and ratio > found.get(e, 0):
+            found[e] = ratio
+            if len(found) >= MAX_CANDIDATES:
+                least = sorted(found.values())[-MAX_CANDIDATES]
+    return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:MAX_CANDIDATES]
+
+
+def near_matches(mentions: DataFrame, mention: str, names: DataFrame, least_length: int = MIN_LENGTH, kinds: dict[str, str] | None = None) -> DataFrame:
+    """mention, entity_id, likeness, status: entities with the mention's first or last three characters anywhere in a name.
+
+    Names (name, entity_id) are normalized before; an entity may have several and counts by the likest. Names whose
+    endings tell different kinds are no match. The best is RESOLVED if it is like enough and ahead of the next entity by the
+    margin; otherwise at most ten CANDIDATE rows remain.
     """
-    ends = lambda c: F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(c, 1, FRAGMENT)), F.concat(F.lit("$"), F.right(F.col(c), F.lit(FRAGMENT)))))
-    left = mentions.select(mention).distinct().where(F.length(mention) >= MIN_LENGTH).select(mention, F.explode(ends(mention)).alias("_f"))
-    right = names.select("name", "entity_id").distinct().where(F.length("name") >= MIN_LENGTH).select("name", "entity_id", F.explode(ends("name")).alias("_f"))
-    pairs = left.join(right, "_f").select(mention, "name", "entity_id").distinct()
-    scored = pairs.withColumn("likeness", likeness(F.col(mention), F.col("name"))).groupBy(mention, "entity_id").agg(F.max("likeness").alias("likeness")).where(F.col("likeness") >= LEAST)
+    ends = F.array_distinct(F.array(F.substring(mention, 1, FRAGMENT), F.right(F.col(mention), F.lit(FRAGMENT))))
+    left = mentions.select(mention).distinct().where(F.length(mention) >= max(least_length, FRAGMENT)).select(mention, F.explode(ends).alias("_f"))
+    parts = left.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
+    asked = left.join(parts, "_f").select(mention, "_f", F.pmod(F.xxhash64(mention), "_parts").cast("int").alias("_part"))
+    fragments = lambda n: F.when(F.length(n) >= FRAGMENT, F.transform(F.sequence(F.lit(1), F.length(n) - (FRAGMENT - 1)), lambda i: F.substring(n, i, F.lit(FRAGMENT)))).otherwise(F.array().cast("array<string>"))
+    known = names.where(F.length("name") > 0).groupBy("entity_id").agg(F.collect_set("name").alias("_names"))
+    known = known.select("entity_id", "_names", F.explode(F.array_distinct(F.flatten(F.transform("_names", fragments)))).alias("_f"))
+    known = known.join(parts, "_f").select("_f", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "entity_id", "_names")
+    endings = sorted((kinds or {}).items(), key=lambda x: -len(x[0]))
+
+    def likest(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(l) and len(r):
+            label, owner = zip(*[(n, e) for e, ns in zip(r["entity_id"], r["_names"]) for n in ns])
+            kind = lambda n: next((k for end, k in endings if n.endswith(end)), "")
+            lengths, bags, ends_in = np.array([len(n) for n in label]), _bags(label), np.array([kind(n) for n in label])
+            for m in l[mention]:
+                k = kind(m)
+                rows += [(m, e, x) for e, x in _best(m, label, owner, lengths, bags, (ends_in == k) | (ends_in == "") | (k == ""))]
+        return pd.DataFrame(rows, columns=[mention, "entity_id", "likeness"])
+
+    scored = asked.groupBy("_f", "_part").cogroup(known.groupBy("_f", "_part")).applyInPandas(likest, f"`{mention}` string, entity_id string, likeness double").distinct()
     order = F.array_sort(F.collect_list(F.struct((-F.col("likeness")).alias("l"), "entity_id")))
     listed = scored.groupBy(mention).agg(F.slice(order, 1, MAX_CANDIDATES).alias("_all"))
     best, second = F.try_element_at("_all", F.lit(1))["l"], F.try_element_at("_all", F.lit(2))["l"]

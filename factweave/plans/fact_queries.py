@@ -27,6 +27,8 @@ SQL: dict[str, str] = {}
 #: The places of order priorities, most urgent first.
 PRIORITIES = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4, "5-LOW": 5}
 AS_OF = "1996-03-01"
+#: What organisation names end in, and the kind it tells.
+ORGANISATION_KINDS = {"자산운용사": "자산운용", "자산운용": "자산운용", "운용사": "운용", "증권사": "증권", "증권": "증권", "은행": "은행", "보험": "보험"}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -567,11 +569,14 @@ def entity_ambiguity(s, d):
 
 @query()
 def entity_fuzzy(s, d):
-    """Near matches of organisation aliases; the likeness has no SQL."""
-    key = entity.name_key(F.col("alias"))
-    mentions = table(s, d, "entity_aliases").where("alias_type = 'ORGANIZATION'").select(key.alias("mention"))
-    known = table(s, d, "canonical_entities").where("entity_kind = 'ORGANIZATION' AND preferred_name IS NOT NULL").select(entity.name_key(F.col("preferred_name")).alias("name"), "entity_id")
-    return entity.near_matches(mentions, "mention", known)
+    """Near matches of organisation and product aliases; the likeness has no SQL."""
+    entities, aliases = table(s, d, "canonical_entities"), table(s, d, "entity_aliases")
+    ids = entities.select("entity_id", "entity_kind", "query_eligible")
+    names = entities.select("entity_id", entity.name_key(F.col("preferred_name")).alias("name"), "entity_kind", "query_eligible").unionByName(aliases.join(ids, "entity_id").select("entity_id", entity.name_key(F.col("alias")).alias("name"), "entity_kind", "query_eligible"))
+    mentions = aliases.select(entity.name_key(F.col("alias")).alias("mention"), "alias_type")
+    organisation = F.col("entity_kind") == "ORGANIZATION"
+    near = lambda kind, known, *how: entity.near_matches(mentions.where(F.col("alias_type") == kind), "mention", names.where(known), *how).withColumn("alias_type", F.lit(kind))
+    return near("ORGANIZATION", organisation, entity.MIN_LENGTH, ORGANISATION_KINDS).unionByName(near("PRODUCT", ~organisation & F.col("query_eligible"), entity.MIN_LENGTH_PRODUCT))
 
 
 @query("""WITH p AS (SELECT DISTINCT canonical_product_id, isin, ticker, asset_manager FROM canonical_products),
