@@ -15,7 +15,22 @@ from pyspark.sql import types as T
 #: Fixed patterns of tokens.
 TOKEN = r"[a-z0-9]+(?:[.&+\-][a-z0-9]+)*|[가-힣]+"
 #: Fixed values of the hash embedding.
-DIMENSIONS, TOKEN_WEIGHT, PAIR_WEIGHT = 384, 1.0, 0.65
+DIMENSIONS, TOKEN_WEIGHT, PAIR_WEIGHT, CONCEPT_WEIGHT = 384, 1.0, 0.65, 4.0
+#: Fixed table: words that tell a concept, in either language.
+CONCEPTS = {
+    "artificial_intelligence": ("artificial intelligence", "machine learning", "deep learning", "인공지능", "머신러닝", "딥러닝", "ai 기술", "ai 산업", "ai 기업"),
+    "semiconductor": ("semiconductor", "semiconductors", "반도체"),
+    "us_treasury": ("u.s. treasury", "us treasury", "united states treasury", "treasury securities", "미국 국채", "미 국채"),
+    "gold": ("physical gold", "gold bullion", "gold", "금 현물", "금"),
+    "covered_call": ("covered call", "call writing", "buy-write", "커버드콜", "커버드 콜"),
+    "healthcare": ("healthcare", "health care", "medical technology", "헬스케어", "의료"),
+    "clean_energy": ("clean energy", "renewable energy", "solar energy", "친환경 에너지", "재생 에너지", "청정 에너지"),
+    "robotics": ("robotics", "automation", "로봇", "자동화"),
+    "cybersecurity": ("cybersecurity", "cyber security", "사이버 보안"),
+    "blockchain": ("blockchain", "digital assets", "블록체인"),
+    "technology": ("technology companies", "technology sector", "기술 기업"),
+    "income": ("income generation", "current income", "인컴", "수익 창출"),
+}
 
 
 @F.pandas_udf(T.StringType())
@@ -35,27 +50,30 @@ def tokens(text: Column, pattern: str = TOKEN) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
-def _place(token: str) -> tuple[int, float]:
-    digest = hashlib.blake2b(token.encode(), digest_size=16).digest()
+def _place(feature: str) -> tuple[int, float]:
+    digest = hashlib.blake2b(feature.encode(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "little") % DIMENSIONS, 1.0 if digest[8] & 1 else -1.0
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(text: pd.Series) -> pd.Series:
-    """A fixed-size signed hash of tokens and neighbouring pairs, of length 1 (all zeros for no token)."""
+    """A fixed-size signed hash of tokens, neighbouring pairs and concepts, of length 1 (all zeros for no feature)."""
     pattern = re.compile(TOKEN)
+    norm = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).casefold()).strip()
 
     def one(value: str | None) -> list[float] | None:
         if value is None:
             return None
-        words = pattern.findall(unicodedata.normalize("NFKC", value).casefold())
-        out = np.zeros(DIMENSIONS, np.float32)
-        for weight, parts in ((TOKEN_WEIGHT, words), (PAIR_WEIGHT, [f"{a} {b}" for a, b in zip(words, words[1:])])):
-            for part in parts:
-                at, sign = _place(part)
+        plain = norm(value)
+        words = pattern.findall(norm(plain))
+        concepts = [f"concept:{c}" for c, aliases in CONCEPTS.items() if any(a in plain for a in aliases)]
+        out = np.zeros(DIMENSIONS)
+        for weight, features in ((TOKEN_WEIGHT, [f"token:{w}" for w in words]), (PAIR_WEIGHT, [f"bigram:{a}_{b}" for a, b in zip(words, words[1:])]), (CONCEPT_WEIGHT, concepts)):
+            for feature in features:
+                at, sign = _place(feature)
                 out[at] += sign * weight
-        norm = float(np.linalg.norm(out))
-        return (out / norm if norm else out).tolist()
+        length = float(np.linalg.norm(out))
+        return (out / length if length else out).tolist()
 
     return text.map(one)
 
