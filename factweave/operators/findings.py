@@ -49,30 +49,55 @@ def incomparable(evidence: DataFrame, contract: Sequence[str]) -> DataFrame:
 
 
 def low_coverage(entities: DataFrame, evidence: DataFrame, fields: Sequence[str], least: float) -> DataFrame:
-    """Fields that too few of the entities have a value for."""
+    """Fields that too few of the entities have a value for, those that none has included."""
     total = entities.agg(F.count_distinct("entity_id")).scalar()
-    have = evidence.where(F.col("value").isNotNull() & F.col("field").isin(list(fields))).groupBy("field").agg(F.count_distinct("entity_id").alias("_have"))
+    counts = [F.count_distinct(F.when((F.col("field") == f) & F.col("value").isNotNull(), F.col("entity_id"))) for f in fields]
+    have = evidence.agg(F.array(*[F.struct(F.lit(f).alias("field"), n.alias("_have")) for f, n in zip(fields, counts)]).alias("_f")).select(F.inline("_f"))
     rows = have.withColumn("_all", total).where(F.col("_have") / F.col("_all") < least).withColumn("entity_id", F.lit(None).cast("string"))
     return _row(rows, "LOW_COVERAGE", "BLOCKING", F.round(F.col("_have") / F.col("_all"), 6))
 
 
+def unresolved(resolved: DataFrame, hits: DataFrame, mention: str) -> DataFrame:
+    """Mentions (of ``entity.resolution``) that name no entity, or several: each of those is blocked as a whole."""
+    none = resolved.where("status = 'UNRESOLVED'").select(mention, F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("field"))
+    many = hits.join(resolved.where("status = 'AMBIGUOUS'").select(mention), mention, "left_semi").select(mention, "entity_id", F.lit(None).cast("string").alias("field")).distinct()
+    return _row(none, "ENTITY_UNRESOLVED", "BLOCKING", F.col(mention)).unionByName(_row(many, "AMBIGUOUS_ENTITY", "BLOCKING", F.col(mention)))
+
+
+def mismatched(resolved: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Entities that evidence speaks of although others were resolved."""
+    expected = resolved.where("status = 'RESOLVED'").select("entity_id").distinct()
+    other = evidence.where(F.col("entity_id").isNotNull()).select("entity_id").distinct().join(expected, "entity_id", "left_anti")
+    rows = other.where(expected.agg(F.count(F.lit(1))).scalar() > 0).withColumn("field", F.lit(None).cast("string"))
+    return _row(rows, "ENTITY_MISMATCH", "BLOCKING", F.lit(None))
+
+
 def all_findings(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
 def verdict_matrix(entities: DataFrame, fields: Sequence[str], findings: DataFrame) -> DataFrame:
-    """entity_id, answerable fields, verdict: FULLY, PARTIALLY or UNANSWERABLE, from the blocking findings."""
+    """entity_id, answerable fields, verdict: FULLY, PARTIALLY or UNANSWERABLE, from the blocking findings.
+
+    A finding without a field blocks all fields of its entity.
+    """
     cells = entities.select("entity_id").distinct().select("entity_id", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
-    bad = findings.where("severity = 'BLOCKING'").select("entity_id", "field").distinct().withColumn("_bad", F.lit(1))
+    touched = F.when(F.col("field").isNull(), F.array(*[F.lit(f) for f in fields])).otherwise(F.array("field"))
+    bad = findings.where("severity = 'BLOCKING'").select("entity_id", F.explode(touched).alias("field")).distinct().withColumn("_bad", F.lit(1))
     counted = cells.join(bad, ["entity_id", "field"], "left").groupBy("entity_id").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_bad").isNull()).alias("answerable"))
     return counted.select("entity_id", "answerable", F.when(F.col("answerable") == F.col("_all"), "FULLY").when(F.col("answerable") > 0, "PARTIALLY").otherwise("UNANSWERABLE").alias("verdict"))
 
 
-def empty_result(candidates: int, evidenced: int) -> str | None:
-    """Why a result is empty: nothing matched, or matches lack evidence."""
+def empty_result(candidates: int | None, evidenced: int, retrieved: int | None = None) -> str | None:
+    """Why a result is empty: nothing matched, matches have no evidence at all, or none that can be used.
+
+    candidates: None if no search told; retrieved: evidence found, usable or not, None if not counted.
+    """
     if evidenced:
         return None
-    return "INSUFFICIENT_EVIDENCE" if candidates else "ZERO_MATCH"
+    if candidates == 0:
+        return "ZERO_MATCH"
+    return "NO_EVIDENCE" if retrieved == 0 else "INSUFFICIENT_EVIDENCE"
 
 
 def step_problems(statuses: dict[str, str]) -> list[tuple[str, str]]:

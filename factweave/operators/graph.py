@@ -85,14 +85,16 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def closure(links: DataFrame, child: str, parent: str) -> dict[str, set[str]]:
     """All ancestors of each child in a small hierarchy (a vocabulary), worked out on the driver."""
     up: dict[str, set[str]] = {}
-    for r in links.select(child, parent).distinct().limit(100_000).collect():
+    for r in links.select(child, parent).distinct().collect():
         up.setdefault(r[0], set()).add(r[1])
 
-    def reach(node: str, seen: set[str]) -> set[str]:
-        for p in up.get(node, ()):
-            if p not in seen:
-                seen.add(p)
-                reach(p, seen)
+    def reach(node: str) -> set[str]:
+        seen: set[str] = set()
+        todo = [node]
+        while todo:
+            new = up.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
         return seen
 
-    return {c: reach(c, set()) for c in up}
+    return {c: reach(c) for c in up}
