@@ -599,11 +599,12 @@ def merge_intersection(s, d):
 
 @query("SELECT p_partkey, rank FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part ORDER BY rank LIMIT 500) WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY rank LIMIT 50")
 def merge_ranked(s, d):
-    from pyspark.sql import Window
-
-    best = table(s, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(500)
-    ordered = best.select("p_partkey", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
-    return merge.ranked(ordered, [table(s, d, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_partkey", "p_partkey")], "p_partkey", "rank", 50)
+    """The limit comes after the intersection; only the chosen parts' places among all parts are counted."""
+    place = F.struct(F.col("p_retailprice").isNull().alias("none"), (-F.col("p_retailprice")).alias("less"), F.col("p_partkey").alias("key"))
+    parts = table(s, d, "part").select("p_partkey", place.alias("place"))
+    best = merge.ranked(parts, [table(s, d, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_partkey", "p_partkey")], "p_partkey", "place", 50)
+    ahead = parts.select(F.col("place").alias("other")).join(F.broadcast(best), F.col("other") <= F.col("place"))
+    return ahead.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("rank"))
 
 
 @query("WITH a AS (SELECT source_record_key AS key, max(product_name) AS v FROM canonical_products WHERE dataset_snapshot = '2026-06-08' GROUP BY 1), b AS (SELECT source_record_key AS key, max(product_name) AS v FROM canonical_products WHERE dataset_snapshot = '2026-08-24' GROUP BY 1) SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'new' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.v IS DISTINCT FROM b.v")

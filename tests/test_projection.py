@@ -13,3 +13,10 @@ def hot(spark, tmp_path):
 def test_provenance_keeps_hot_products(spark, hot):
     got = {r[0]: (r[1], r[2]) for r in fact_queries.queries()["provenance_sets_all"](spark, hot).collect()}
     assert got == {"bond_kr:HOT1": ("a|b", "r0|r1|r2"), "x": (None, None), None: ("a", "r9")}
+
+
+def test_merge_ranked_limits_after_the_intersection(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS p_partkey", "cast(5000 - id AS double) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2000).selectExpr("id AS l_partkey", "if(id = 3 OR id >= 600, 'R', 'A') AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r["rank"], r["p_partkey"]) for r in fact_queries.queries()["merge_ranked"](spark, str(tmp_path)).collect())
+    assert got == [(4, 3), *[(i + 1, i) for i in range(600, 649)]]
