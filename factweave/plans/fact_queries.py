@@ -328,6 +328,16 @@ def field_evidence(s, d):
     return asserted.join(records, "source_record_id", "left")
 
 
+@query("WITH o AS (SELECT DISTINCT source_record_id, quality_status AS record_quality, lower(trim(e.key)) AS source_column, e.value ->> '$' AS observed FROM source_records, json_each(CASE WHEN json_valid(raw_payload) THEN raw_payload END) e) SELECT a.assertion_id, a.source_record_id, lower(trim(a.source_column)) AS source_column, o.record_quality, o.observed FROM source_field_assertions a LEFT JOIN o ON a.source_record_id = o.source_record_id AND lower(trim(a.source_column)) = o.source_column")
+def field_evidence_all(s, d):
+    """Of every column: what the record's payload holds there."""
+    column = F.lower(F.trim("source_column")).alias("source_column")
+    cells = table(s, d, "source_records").select("source_record_id", F.col("quality_status").alias("record_quality"), F.explode(F.from_json("raw_payload", "map<string,string>")).alias("source_column", "observed"))
+    asserted = table(s, d, "source_field_assertions").select("assertion_id", "source_record_id", column)
+    found = projection.field_evidence(asserted, cells.select("source_record_id", "record_quality", column, "observed").distinct(), "source_record_id", "source_column")
+    return found.select("assertion_id", "source_record_id", "source_column", "record_quality", "observed")
+
+
 # --- Cleaning and quality ---------------------------------------------------------------------------------------------
 
 

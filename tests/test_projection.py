@@ -15,6 +15,15 @@ def test_provenance_keeps_hot_products(spark, hot):
     assert got == {"bond_kr:HOT1": ("a|b", "r0|r1|r2"), "x": (None, None), None: ("a", "r9")}
 
 
+def test_field_evidence_covers_all_columns_and_spellings(spark, tmp_path):
+    asserted = [("a1", "r1", " PD_NM"), ("a2", "r1", "curr_cd"), ("a3", "r2", "pd_nm"), ("a4", None, "pd_nm")]
+    spark.createDataFrame(asserted, "assertion_id string, source_record_id string, source_column string").write.parquet(f"{tmp_path}/source_field_assertions.parquet")
+    records = [("r1", "OK", '{"pd_nm": "x", "CURR_CD ": 3}'), ("r1", "OK", '{"pd_nm": "x", "CURR_CD ": 3}'), ("r2", "OK", "no json")]
+    spark.createDataFrame(records, "source_record_id string, quality_status string, raw_payload string").write.parquet(f"{tmp_path}/source_records.parquet")
+    got = sorted(tuple(r) for r in fact_queries.queries()["field_evidence_all"](spark, str(tmp_path)).collect())
+    assert got == [("a1", "r1", "pd_nm", "OK", "x"), ("a2", "r1", "curr_cd", "OK", "3"), ("a3", "r2", "pd_nm", None, None), ("a4", None, "pd_nm", None, None)]
+
+
 def test_merge_ranked_limits_after_the_intersection(spark, tmp_path):
     spark.range(2000).selectExpr("id AS p_partkey", "cast(5000 - id AS double) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
     spark.range(2000).selectExpr("id AS l_partkey", "if(id = 3 OR id >= 600, 'R', 'A') AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
