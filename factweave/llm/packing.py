@@ -51,8 +51,15 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _firsts(items: list[int], sizes: list[int], most: int) -> list[int]:
+    """The first items of each size, in their order: others of a size bring no other exchange."""
+    seen: dict[int, int] = {}
+    return [i for i in items if (n := seen.get(sizes[i], 0)) < most and not seen.update({sizes[i]: n + 1})]
+
+
 def _best_exchange(source: list[int], target: list[int], sizes: list[int], gap: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
-    """Greatest gain of the target within its gap: (gain, items from the source, items from the target)."""
+    """Greatest gain of the target within its gap, over all items: (gain, items from the source, items from the target)."""
+    source, target = _firsts(source, sizes, 2), _firsts(target, sizes, 2)
     a = np.array([sizes[i] for i in source])
     b = np.array([0, *(sizes[i] for i in target)])  # 0: a move takes nothing back
     best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
@@ -67,13 +74,13 @@ def _best_exchange(source: list[int], target: list[int], sizes: list[int], gap:
         i, j = divmod(k, len(b))
         best = (int(single[i, j]), (source[i],), (target[j - 1],) if j else ())
     if best[0] < gap and len(source) > 1:  # two for one
-        p, q = np.triu_indices(min(len(source), 128), 1)
+        p, q = np.triu_indices(len(source), 1)
         pairs = (a[p] + a[q])[:, None] - b[None, 1:]
         if (k := better(pairs)) is not None:
             i, j = divmod(k, len(b) - 1)
             best = (int(pairs[i, j]), (source[p[i]], source[q[i]]), (target[j],))
     if best[0] < gap and len(target) > 1:  # one for two
-        p, q = np.triu_indices(min(len(target), 128), 1)
+        p, q = np.triu_indices(len(target), 1)
         pairs = a[:, None] - (b[1:][p] + b[1:][q])[None, :]
         if (k := better(pairs)) is not None:
             i, j = divmod(k, len(p))

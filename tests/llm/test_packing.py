@@ -44,3 +44,10 @@ def test_empty_and_wrong_capacity(spark):
         packing.containers(none, 0)
     zero = packing.containers(spark.createDataFrame([(1, 0), (2, None)], "doc_id long, tokens long"), 10)
     assert zero.count() == 2
+
+
+def test_exchanges_look_at_all_items():
+    sizes = [10] * 128 + [7, 6, 10]
+    assert packing._best_exchange(list(range(130)), [130], sizes, 3) == (3, (128, 129), (130,))
+    sizes = [9, *[20] * 130, 3, 4]
+    assert packing._best_exchange([0], list(range(1, 133)), sizes, 2) == (2, (0,), (131, 132))
