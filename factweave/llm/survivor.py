@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 #: Members aligned in one block, and profiles in one step of a level.
 BLOCK = 256
-#: Alignments of more cells than this pair tokens by position between the common ends.
+#: Alignments of more cells than this are halved until they are smaller, so memory stays bounded; the gain is the same.
 MAX_CELLS = 250_000
+GAP_COST = 0.01
 TOKEN = re.compile(r"\d+|[^\W\d_]+|\S")
 GAP = ""
 
@@ -34,12 +35,26 @@ def tokens(value: str) -> list[str]:
     return TOKEN.findall(value)
 
 
+def _last_row(n: int, m: int, gain) -> list[float]:
+    """Best gain of aligning all n columns with the first j, for each j up to m."""
+    cost = GAP_COST
+    row = [-cost * j for j in range(m + 1)]
+    for i in range(1, n + 1):
+        above, row = row, [-cost * i]
+        for j in range(1, m + 1):
+            row.append(max(above[j - 1] + gain(i - 1, j - 1), above[j] - cost, row[j - 1] - cost))
+    return row
+
+
 def _paired(n: int, m: int, gain) -> list[tuple[int | None, int | None]]:
     """Global alignment of n and m columns that maximizes the gain of the pairs; gaps cost a little."""
-    if n * m > MAX_CELLS:
-        both = min(n, m)
-        return [(i, i) for i in range(both)] + [(i, None) for i in range(both, n)] + [(None, j) for j in range(both, m)]
-    cost = 0.01
+    cost = GAP_COST
+    if n * m > MAX_CELLS and n > 1:
+        half = n // 2
+        fore, back = _last_row(half, m, gain), _last_row(n - half, m, lambda i, j: gain(n - 1 - i, m - 1 - j))
+        cut = max(range(m + 1), key=lambda j: fore[j] + back[m - j])
+        rest = _paired(n - half, m - cut, lambda i, j: gain(half + i, cut + j))
+        return _paired(half, cut, gain) + [(None if i is None else half + i, None if j is None else cut + j) for i, j in rest]
     best = [[-cost * (i + j) if not i * j else 0.0 for j in range(m + 1)] for i in range(n + 1)]
     for i in range(1, n + 1):
         row, above = best[i], best[i - 1]

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factweave.llm import survivor as sv
@@ -43,3 +44,19 @@ def test_null_qualities_and_clashing_columns(spark):
     rows = [("1", "a", "x", "y", None, 1, "s"), ("1", "b", "x", "y", None, 2, "s")]
     df = members(spark, rows).withColumn("distance", F.lit(9)).withColumn("target", F.lit("t")).withColumn("d_name", F.lit(0))
     assert sv.survivors(df, "g", "m", ["name"], ["q", "d"], F.lit(1)).collect()[0]["survivor"] == "b"
+
+
+def test_long_values_are_aligned_too(monkeypatch):
+    words = [str(i) for i in range(600)]
+    assert sv.distance(" ".join(words), ["x", *words]) == pytest.approx(1 - 600 / 601)
+    r = random.Random(1)
+    for _ in range(40):
+        gains = [[r.choice([1.0, -0.1, 0.4]) for _ in range(r.randint(1, 12))] for _ in range(r.randint(1, 12))]
+        width = min(map(len, gains))
+        total = lambda pairs: sum(gains[i][j] if i is not None and j is not None else -0.01 for i, j in pairs)
+        monkeypatch.setattr(sv, "MAX_CELLS", 250_000)
+        whole = sv._paired(len(gains), width, lambda i, j: gains[i][j])
+        monkeypatch.setattr(sv, "MAX_CELLS", 6)
+        halved = sv._paired(len(gains), width, lambda i, j: gains[i][j])
+        assert total(halved) == pytest.approx(total(whole))
+        assert [i for i, _ in halved if i is not None] == list(range(len(gains))) and [j for _, j in halved if j is not None] == list(range(width))
