@@ -4,7 +4,11 @@ Mentions (a name and a code as delivered) and companies are nodes. Shared attrib
 the name within a line of business) make candidate edges, weighted by how rare the attribute is among companies.
 Meta-blocking keeps, for each mention, the edges near its heaviest. Edges are scored by name and code, then the scores
 are refined with those of their neighbours, the edges to the same company in the same fund and in all funds, until
-they are stable. The best edge of a mention is its link; its confidence is the score brought to 0..1.
+they are stable. The best edge of a mention is its link if its stable score is high enough; that score, brought to
+0..1, is the link's confidence.
+
+Lines of business are endings that many companies' names share, learned from the companies, and a glossary of what they
+are called in either language. A name without one is compared as a whole.
 """
 
 from __future__ import annotations
@@ -24,12 +28,15 @@ MAX_BROADCAST_COMPANIES = 50_000
 #: Meta-blocking keeps edges of at least this part of the heaviest edge of their mention.
 KEEP_WEIGHT = 0.4
 #: Pull of the same fund's and of all funds' edges to a company; their sum is below 1, so scores converge.
-FUND_PULL, ALL_PULL = 0.2, 0.05
-STABLE, MAX_ROUNDS = 1e-3, 12
-#: Least likeness of names for a link, and with an equal code.
-MIN_NAME, MIN_NAME_WITH_CODE = 0.8, 0.45
-
-# Lines of business as names write them, share classes and marks of what is no listed share.
+FUND_PULL, ALL_PULL = 0.05, 0.01
+#: Likeness from which a name counts at all; what a name and a code add to an edge's own score, of 1 in all.
+NAME_FROM, NAME_PART, CODE_PART = 0.4, 0.6, 0.4
+#: Least confidence of a link: about one letter in five wrong, or an equal code and half of the name.
+MIN_CONFIDENCE = 0.36
+#: An ending is a line of business if so many companies, and this part of all, share it; its length is 2 to so many.
+ENDING_COMPANIES, ENDING_PART, ENDING_LETTERS = 4, 0.002, 8
+
+# A glossary of lines of business as names write them, share classes and marks of what is no listed share.
 SECTORS = {
     "화학": "화학", "케미칼": "화학", "chemical": "화학", "chemicals": "화학", "chem": "화학",
     "전자": "전자", "일렉": "전자", "electronics": "전자", "elec": "전자",
@@ -46,12 +53,15 @@ SECTORS = {
     "식품": "식품", "푸드": "식품", "foods": "식품", "f&b": "식품",
     "에너지": "에너지", "에너": "에너지", "energy": "에너지",
 }
+SECTORS = names.longest_first(SECTORS)
 SHARE_CLASS = re.compile(r"[\s\-(]*(?:(?P<preferred>[1-9]?\s*우선?주?\s*b?)|보통주?|신주|구주)\)?\s*$")
 UNLISTED = re.compile(r"비상장|unlisted|private placement|제3시장")
 #: Codes of other instruments: a foreign ticker with its market, cash, futures.
 OTHER_CODE = re.compile(r"[A-Z]{1,6}[. ][A-Z]{2}|CASH.*|FU\d+")
 DOMESTIC_CODE = re.compile(r"A?(\d{1,6})|KR7(\d{6})\d{3}")
 NODE_SCHEMA = "code string, stem string, swaps array<string>, sector string, attributes array<string>"
+#: Longer names get no spellings with exchanged syllables: their number would grow with the square of the length.
+MAX_SWAPPED = 64
 
 
 def read_code(code: str | None) -> tuple[str | None, bool]:
@@ -64,46 +74,71 @@ def read_code(code: str | None) -> tuple[str | None, bool]:
     return None, bool(OTHER_CODE.fullmatch(code))
 
 
-def _ends_with_sector(text: str) -> bool:
-    return names.pulled(text, SECTORS, "end")[1] is not None
+def learned_endings(companies: DataFrame, name: str) -> dict[str, str]:
+    """Endings that many companies' names share, each meaning itself.
+
+    Where one letter goes before most names of an ending, it is part of a longer one and none itself; where a shorter
+    one qualifies, the longer adds nothing. An ending holds at least ENDING_PART of the companies, which bounds what
+    reaches the driver.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"\(주\)|㈜|주식회사", ""), r"[\s.,]+", "")
+    one = companies.select(plain.alias("_n")).where(F.length("_n") > 2).distinct()
+    sizes = F.sequence(F.lit(2), F.least(F.length("_n") - 1, F.lit(ENDING_LETTERS)))
+    cut = one.select("_n", F.explode(sizes).alias("_k")).select(F.right("_n", F.col("_k")).alias("ending"), F.right("_n", F.col("_k") + 1).alias("longer"))
+    found = cut.groupBy("ending", "longer").agg(F.count(F.lit(1)).alias("n")).groupBy("ending").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    least = F.greatest(F.lit(float(ENDING_COMPANIES)), ENDING_PART * one.agg(F.count(F.lit(1))).scalar())
+    kept = {r["ending"] for r in found.where((F.col("n") >= least) & (F.col("most") < 0.5 * F.col("n"))).select("ending").collect()}
+    return {e: e for e in sorted(kept) if not any(e[i:] in kept for i in range(1, len(e)))}
+
+
+def _ends_with_sector(text: str, sectors: dict[str, str]) -> bool:
+    return names.pulled(text, sectors, "end")[1] is not None
 
 
-def read_security(name: str | None, code: str | None) -> tuple[str | None, str, list[str], str, list[str]] | None:
-    """(code, stem, stems with exchanged syllables, sector, attributes); None for what is no listed share."""
+def read_security(name: str | None, code: str | None, sectors: dict[str, str] = SECTORS) -> list[tuple[str | None, str, list[str], str, list[str]]]:
+    """(code, stem, stems with exchanged syllables, sector, attributes) for the ways to read a name.
+
+    What is no listed share has none. A name without a known line of business is read as a whole, with the sector "",
+    and, if it may end in one cut short, that way too.
+    """
     digits, other = read_code(code)
     text = names.without_legal(names.folded(name or "")).strip(" .")
     if other or UNLISTED.search(text):
-        return None
+        return []
     share = SHARE_CLASS.search(text)
-    if share and (_ends_with_sector(text[: share.start()]) or share[0][:1] in " -("):
+    if share and (_ends_with_sector(text[: share.start()], sectors) or share[0][:1] in " -("):
         text = text[: share.start()]
     text = re.sub(r"[\"']", "", text).strip(" .,-")
-    rest, sector = names.pulled(text, SECTORS, "end")
+    found, sector = names.pulled(text, sectors, "end")
+    parts = [(found, sector or "")]
     if sector is None and names.HANGUL.search(text):
         glued = re.sub(r"\s", "", text)
-        rest, sector = glued, None
         for size in (2, 1):  # a line of business cut short
-            cut = [x for x in dict.fromkeys(SECTORS.values()) if len(glued) > size + 1 and x != glued[-size:] and x.startswith(glued[-size:])]
+            cut = [x for x in dict.fromkeys(sectors.values()) if len(glued) > size + 1 and x != glued[-size:] and x.startswith(glued[-size:])]
             if cut:
-                rest, sector = glued[:-size], cut[0]
+                parts.append((glued[:-size], cut[0]))
                 break
-    rest = re.sub(r"[^a-z0-9가-힣]", "", rest)
-    stem = names.letters(rest)
-    swaps = []
-    if names.HANGUL.fullmatch(rest[:1]) and len(rest) <= 12:
-        swaps = [names.letters(rest[:i] + rest[i + 1] + rest[i] + rest[i + 2 :]) for i in range(len(rest) - 1)]
-    attributes = [f"c:{digits}"] if digits else []
-    if sector and stem:
-        padded = f"^{stem}$"
-        grams = {padded[i : i + 4] for i in range(max(1, len(padded) - 3))}
-        for swap in swaps:
-            grams |= {swap[i : i + 6] for i in range(max(1, len(swap) - 5))} if len(swap) > 5 else set()
-        attributes += [f"n:{sector}:{stem}", *sorted(f"g:{sector}:{g}" for g in grams)]
-    return digits, stem, swaps, sector or "", attributes
-
-
-def read_nodes(df: DataFrame, keep: list[str], name: str, code: str) -> DataFrame:
-    """``keep`` and the attributes of every node that may be a listed share; the others are left out."""
+    out = []
+    for rest, kind in parts:
+        rest = re.sub(r"[^a-z0-9가-힣]", "", rest)
+        stem = names.letters(rest)
+        swaps = []
+        if names.HANGUL.fullmatch(rest[:1]) and len(rest) <= MAX_SWAPPED:
+            swaps = [names.letters(rest[:i] + rest[i + 1] + rest[i] + rest[i + 2 :]) for i in range(len(rest) - 1)]
+        attributes = [f"c:{digits}"] if digits else []
+        if stem:
+            padded = f"^{stem}$"
+            grams = {padded[i : i + 4] for i in range(max(1, len(padded) - 3))}
+            for swap in swaps:
+                grams |= {swap[i : i + 6] for i in range(max(1, len(swap) - 5))} if len(swap) > 5 else set()
+            attributes += [f"n:{kind}:{stem}", *sorted(f"g:{kind}:{g}" for g in grams)]
+        if attributes:
+            out.append((digits, stem, swaps, kind, attributes))
+    return out
+
+
+def read_nodes(df: DataFrame, keep: list[str], name: str, code: str, sectors: dict[str, str]) -> DataFrame:
+    """``keep`` and the attributes of every reading of every node that may be a listed share; others are left out."""
     types = dict(df.dtypes)
     source = df.select(*keep, F.col(name).alias("_name"), F.col(code).alias("_code"))
     schema = ", ".join(f"{c} {types[c]}" for c in keep) + ", " + NODE_SCHEMA
@@ -111,22 +146,24 @@ def read_nodes(df: DataFrame, keep: list[str], name: str, code: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [read_security(a, b) for a, b in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
-            at = pa.array([i for i, x in enumerate(read) if x and x[4]], pa.int64())
-            rows = [x for x in read if x and x[4]]
+            at, rows = [], []
+            for i, (a, b) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())):
+                read = read_security(a, b, sectors)
+                at += [i] * len(read)
+                rows += read
             columns = list(zip(*rows)) or [()] * 5
             types_out = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
-            arrays = [*(batch.column(i).take(at) for i in range(n)), *(pa.array(c, t) for c, t in zip(columns, types_out))]
+            arrays = [*(batch.column(i).take(pa.array(at, pa.int64())) for i in range(n)), *(pa.array(c, t) for c, t in zip(columns, types_out))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "code", "stem", "swaps", "sector", "attributes"])
 
     return source.mapInArrow(run, schema)
 
 
-def candidate_edges(mentions: DataFrame, companies: DataFrame, small: bool) -> DataFrame:
-    """mention, issuer_code, weight: the graph after meta-blocking.
+def candidate_edges(nodes: DataFrame, companies: DataFrame, small: bool) -> DataFrame:
+    """node, issuer_code: the graph after meta-blocking.
 
     An attribute's weight is the logarithm of the companies' number over those that have it. Companies are few, so a
-    mention's edges are too, whatever number of mentions there is.
+    node's edges are too, whatever number of nodes there is.
     """
     company = companies.select("issuer_code", F.explode("attributes").alias("attribute")).distinct()
     total = companies.agg(F.count_distinct("issuer_code")).scalar()
@@ -134,46 +171,42 @@ def candidate_edges(mentions: DataFrame, companies: DataFrame, small: bool) -> D
     weight = F.when(F.col("attribute").startswith("c:"), 4.0).when(F.col("attribute").startswith("n:"), 3.0).otherwise(1.0)
     index = company.join(df, "attribute").withColumn("n", total).select("attribute", "issuer_code", (weight * F.log(1 + F.col("n") / F.col("df"))).alias("w"))
     index = F.broadcast(index) if small else index.hint("merge")
-    edges = mentions.select("mention", F.explode("attributes").alias("attribute")).join(index, "attribute").groupBy("mention", "issuer_code").agg(F.sum("w").alias("weight"))
-    heaviest = edges.withColumn("top", F.max("weight").over(Window.partitionBy("mention")))
-    return heaviest.where(F.col("weight") >= KEEP_WEIGHT * F.col("top")).select("mention", "issuer_code", "weight")
+    edges = nodes.select("node", F.explode("attributes").alias("attribute")).join(index, "attribute").groupBy("node", "issuer_code").agg(F.sum("w").alias("weight"))
+    heaviest = edges.withColumn("top", F.max("weight").over(Window.partitionBy("node")))
+    return heaviest.where(F.col("weight") >= KEEP_WEIGHT * F.col("top")).select("node", "issuer_code")
 
 
 def _code_likeness(a, b):
     """1 for equal codes, 0.5 for one digit changed or two neighbours exchanged, else 0; NULL if one is missing."""
     wrong = F.size(F.filter(F.sequence(F.lit(1), F.lit(6)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
     exchanged = (wrong == 2) & (F.array_join(F.array_sort(F.split(a, "")), "") == F.array_join(F.array_sort(F.split(b, "")), ""))
-    return F.when(a == b, 1.0).when(wrong <= 1, 0.5).when(exchanged, 0.5).when(a.isNotNull() & b.isNotNull(), 0.0)
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).when((wrong <= 1) | exchanged, 0.5).otherwise(0.0)
 
 
-def scored_edges(edges: DataFrame, mentions: DataFrame, companies: DataFrame, small: bool) -> DataFrame:
-    """mention, issuer_code, likeness, base: edges whose names and codes allow a link."""
+def scored_edges(edges: DataFrame, nodes: DataFrame, companies: DataFrame, small: bool) -> DataFrame:
+    """node, issuer_code, base: what an edge's own names and codes say, from 0 to 1."""
     c = companies.select("issuer_code", F.col("stem").alias("c_stem"), F.col("sector").alias("c_sector"), F.col("code").alias("c_code"))
-    both = edges.join(mentions.select("mention", "stem", "swaps", "sector", "code"), "mention").join(F.broadcast(c) if small else c, "issuer_code")
-    away = F.least(F.levenshtein("stem", "c_stem"), F.coalesce(F.array_min(F.transform("swaps", lambda s: F.levenshtein(s, F.col("c_stem")) + 1)), F.lit(99)))
-    likeness = F.when(F.col("sector") == F.col("c_sector"), 1 - away / F.greatest(F.length("stem"), F.length("c_stem"), F.lit(1))).otherwise(0.0)
-    rows = both.withColumn("likeness", F.greatest(likeness, F.lit(0.0))).withColumn("code_likeness", _code_likeness(F.col("code"), F.col("c_code")))
-    allowed = (F.col("likeness") >= MIN_NAME) | ((F.col("likeness") >= MIN_NAME_WITH_CODE) & (F.col("code_likeness") == 1.0))
-    return rows.where(allowed).select("mention", "issuer_code", "likeness", (0.5 * F.col("likeness") + 0.25 * F.coalesce("code_likeness", F.lit(0.2))).alias("base"))
+    both = edges.join(nodes.select("node", "stem", "swaps", "sector", "code"), "node").join(F.broadcast(c) if small else c, "issuer_code")
+    away = F.least(F.levenshtein("stem", "c_stem"), F.coalesce(F.array_min(F.transform("swaps", lambda s: F.levenshtein(s, F.col("c_stem")) + 1)), F.lit(2**30)))
+    likeness = 1 - away / F.greatest(F.length("stem"), F.length("c_stem"), F.lit(1))
+    rows = both.where(F.col("sector") == F.col("c_sector")).withColumn("likeness", likeness).where(F.col("likeness") > NAME_FROM)
+    base = NAME_PART * (F.col("likeness") - NAME_FROM) / (1 - NAME_FROM) + CODE_PART * F.coalesce(_code_likeness(F.col("code"), F.col("c_code")), F.lit(0.0))
+    return rows.groupBy("node", "issuer_code").agg(F.max(base).alias("base"))
 
 
-def refine(edges: DataFrame, fund: str = "fund_code") -> DataFrame:
-    """Edges (fund, mention, issuer_code, base) with ``score``: base plus the mean scores of their neighbours.
+def refine(edges: DataFrame, small: bool = False) -> DataFrame:
+    """Edges (fund_code, node, issuer_code, base) with their stable ``score``.
 
-    One number a round comes to the driver. The pulls make a contraction, so rounds do not grow with the data.
+    A round adds to ``base`` FUND_PULL times the mean score of the same company's edges in the fund and ALL_PULL times
+    their mean in all funds. The rounds contract to one solution, and it is linear in the means of ``base``, so two
+    aggregations give it exactly, with no rounds and nothing on the driver: averaging a round over a company's edges
+    gives all = base mean / (1 - FUND_PULL - ALL_PULL), over those of one fund (base mean + ALL_PULL * all) / (1 - FUND_PULL).
     """
-    state = checkpointed(edges.withColumn("score", F.col("base")))
-    for _ in range(MAX_ROUNDS):
-        in_fund = state.groupBy(fund, "issuer_code").agg(F.avg("score").alias("fund_mean"))
-        in_all = state.groupBy("issuer_code").agg(F.avg("score").alias("all_mean"))
-        new = state.join(in_fund, [fund, "issuer_code"]).join(in_all, "issuer_code")
-        score = F.col("base") + FUND_PULL * F.col("fund_mean") + ALL_PULL * F.col("all_mean")
-        new = checkpointed(new.select(fund, "mention", "issuer_code", "base", "likeness", F.col("score").alias("before"), score.alias("score")))
-        change = new.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0]
-        state = new.drop("before")
-        if change is None or change < STABLE:
-            break
-    return state
+    in_fund = edges.groupBy("fund_code", "issuer_code").agg(F.sum("base").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    in_all = in_fund.groupBy("issuer_code").agg((F.sum("_s") / F.sum("_n") / (1 - FUND_PULL - ALL_PULL)).alias("_all"))
+    stable = in_fund.join(F.broadcast(in_all) if small else in_all, "issuer_code")
+    stable = stable.select("fund_code", "issuer_code", "_all", ((F.col("_s") / F.col("_n") + ALL_PULL * F.col("_all")) / (1 - FUND_PULL)).alias("_fund"))
+    return edges.join(stable, ["fund_code", "issuer_code"]).withColumn("score", F.col("base") + FUND_PULL * F.col("_fund") + ALL_PULL * F.col("_all")).drop("_fund", "_all")
 
 
 def link_securities(items: DataFrame, companies: DataFrame) -> DataFrame:
@@ -181,20 +214,30 @@ def link_securities(items: DataFrame, companies: DataFrame) -> DataFrame:
 
     Items with the same name and code in one fund share one link. A NULL name or code is taken as empty; companies
     without a code or name are left out; a company given several times keeps all its names. Of equal edges the least
-    issuer_code wins.
+    issuer_code wins; an empty table gives no rows; other columns are dropped, whatever their names. The endings of
+    companies' names are the only rows that reach the driver.
     """
     mention = F.concat_ws("\1", F.coalesce("sec_nm", F.lit("")), F.coalesce("itm_no", F.lit("")))
     fund = F.coalesce("fund_code", F.lit(""))
     keyed = items.select("item_id", fund.alias("fund_code"), "sec_nm", "itm_no", mention.alias("mention"))
     known = companies.where("issuer_code IS NOT NULL").select("issuer_code", "issuer_name", "representative_ticker").distinct()
-    company = checkpointed(read_nodes(known, ["issuer_code"], "issuer_name", "representative_ticker"))
+    endings = learned_endings(known, "issuer_name")
+    sectors = names.longest_first({**{names.latin(e): e for e in endings}, **endings, **SECTORS})
+    company = checkpointed(read_nodes(known, ["issuer_code"], "issuer_name", "representative_ticker", sectors))
     small = company.limit(MAX_BROADCAST_COMPANIES + 1).count() <= MAX_BROADCAST_COMPANIES
-    contexts = checkpointed(keyed.select("fund_code", "mention").distinct())
-    mentions = checkpointed(read_nodes(keyed.select("mention", "sec_nm", "itm_no").dropDuplicates(["mention"]), ["mention"], "sec_nm", "itm_no"))
-    scored = scored_edges(candidate_edges(mentions, company, small), mentions, company, small)
-    scored = scored.groupBy("mention", "issuer_code").agg(F.max("base").alias("base"), F.max("likeness").alias("likeness"))
-    refined = refine(contexts.join(scored, "mention"))
-    best = refined.groupBy("fund_code", "mention").agg(F.min(F.struct(-F.col("score"), "issuer_code")).alias("b"))
-    full = 0.75 / (1 - FUND_PULL - ALL_PULL)
-    links = best.select("fund_code", "mention", F.col("b.issuer_code").alias("issuer_code"), F.round(F.least(-F.col("b").getField("col1") / full, F.lit(1.0)), 4).alias("confidence"))
+    # spellings that read alike are one node
+    # a stated number of partitions: adaptive execution would read many names, small in bytes, in one task
+    partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spelled = keyed.select("mention", "sec_nm", "itm_no").repartition(partitions, "mention").dropDuplicates(["mention"])
+    read = read_nodes(spelled, ["mention"], "sec_nm", "itm_no", sectors)
+    node = F.concat_ws("\1", F.coalesce("code", F.lit("")), "sector", "stem", (F.size("swaps") > 0).cast("string"))
+    read = checkpointed(read.withColumn("node", node))
+    nodes = read.drop("mention").dropDuplicates(["node"])
+    scored = checkpointed(scored_edges(candidate_edges(nodes, company, small), nodes, company, small))
+    mentions = keyed.select("fund_code", "mention").distinct().join(read.select("mention", "node"), "mention")
+    contexts = checkpointed(mentions.join(scored, "node"))
+    refined = refine(contexts.select("fund_code", "node", "issuer_code", "base").distinct(), small)
+    best = contexts.join(refined.select("fund_code", "node", "issuer_code", "score"), ["fund_code", "node", "issuer_code"]).groupBy("fund_code", "mention").agg(F.min(F.struct((-F.col("score")).alias("s"), "issuer_code")).alias("b"))
+    confidence = F.least(-F.col("b.s") * (1 - FUND_PULL - ALL_PULL), F.lit(1.0))
+    links = best.select("fund_code", "mention", F.col("b.issuer_code").alias("issuer_code"), F.round(confidence, 4).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
     return keyed.select("item_id", "fund_code", "mention").join(links, ["fund_code", "mention"]).select("item_id", "issuer_code", "confidence")

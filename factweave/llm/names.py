@@ -46,25 +46,24 @@ def letters(text: str) -> str:
     return re.sub(r"[^a-z0-9]", "", latin(text))
 
 
+def longest_first(words: dict[str, str]) -> dict[str, str]:
+    """A table of words as ``pulled`` wants it."""
+    return dict(sorted(words.items(), key=lambda x: -len(x[0])))
+
+
 def pulled(text: str, words: dict[str, str], where: str = "any") -> tuple[str, str | None]:
-    """Text without the longest word of a table it holds, and that word's meaning.
+    """Text without the first word of a table it holds, and that word's meaning; tables have the longest words first.
 
     ``where``: "end", "start" or "any". The words must be folded; Korean words match without regard to blanks.
     """
-    best: tuple[int, int, str] | None = None
     for word, meaning in words.items():
-        pattern = word_pattern(word)
-        for found in pattern.finditer(text):
+        for found in word_pattern(word).finditer(text):
             if where == "end" and text[found.end() :].strip(" .,-_·"):
                 continue
             if where == "start" and text[: found.start()].strip(" .,-_·"):
                 continue
-            if best is None or len(word) > best[0]:
-                best = (len(word), found.start(), meaning)
-                span = found.span()
-    if best is None:
-        return text, None
-    return f"{text[: span[0]]} {text[span[1] :]}".strip(), best[2]
+            return f"{text[: found.start()]} {text[found.end() :]}".strip(), meaning
+    return text, None
 
 
 def word_pattern(word: str) -> re.Pattern:

@@ -53,6 +53,7 @@ ORGANISATIONS = {
     "투자신탁운용": "investment trust", "투신운용": "investment trust", "투신": "investment trust", "investment trust": "investment trust", "itm": "investment trust",
     "운용": "management",
 }
+THEMES, ORGANISATIONS = names.longest_first(THEMES), names.longest_first(ORGANISATIONS)
 #: A short form that may stand for either kind.
 OPEN_KINDS = {"management": ("asset management", "investment trust")}
 FUND_WORDS = ["증권자투자신탁", "증권투자신탁", "자투자신탁", "투자신탁", "증권자", "신탁", "펀드", "fund", "etf", "trust"]
