@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.llm import names
+from factweave.llm.vocabulary import learned_endings
 from factweave.session import checkpointed
 
 #: Companies whose attributes are broadcast; more are joined by a shuffle.
@@ -33,8 +34,6 @@ FUND_PULL, ALL_PULL = 0.05, 0.01
 NAME_FROM, NAME_PART, CODE_PART = 0.4, 0.6, 0.4
 #: Least confidence of a link: about one letter in five wrong, or an equal code and half of the name.
 MIN_CONFIDENCE = 0.36
-#: An ending is a line of business if so many companies, and this part of all, share it; its length is 2 to so many.
-ENDING_COMPANIES, ENDING_PART, ENDING_LETTERS = 4, 0.002, 8
 
 # A glossary of lines of business as names write them, share classes and marks of what is no listed share.
 SECTORS = {
@@ -74,23 +73,6 @@ def read_code(code: str | None) -> tuple[str | None, bool]:
     return None, bool(OTHER_CODE.fullmatch(code))
 
 
-def learned_endings(companies: DataFrame, name: str) -> dict[str, str]:
-    """Endings that many companies' names share, each meaning itself.
-
-    Where one letter goes before most names of an ending, it is part of a longer one and none itself; where a shorter
-    one qualifies, the longer adds nothing. An ending holds at least ENDING_PART of the companies, which bounds what
-    reaches the driver.
-    """
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"\(주\)|㈜|주식회사", ""), r"[\s.,]+", "")
-    one = companies.select(plain.alias("_n")).where(F.length("_n") > 2).distinct()
-    sizes = F.sequence(F.lit(2), F.least(F.length("_n") - 1, F.lit(ENDING_LETTERS)))
-    cut = one.select("_n", F.explode(sizes).alias("_k")).select(F.right("_n", F.col("_k")).alias("ending"), F.right("_n", F.col("_k") + 1).alias("longer"))
-    found = cut.groupBy("ending", "longer").agg(F.count(F.lit(1)).alias("n")).groupBy("ending").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    least = F.greatest(F.lit(float(ENDING_COMPANIES)), ENDING_PART * one.agg(F.count(F.lit(1))).scalar())
-    kept = {r["ending"] for r in found.where((F.col("n") >= least) & (F.col("most") < 0.5 * F.col("n"))).select("ending").collect()}
-    return {e: e for e in sorted(kept) if not any(e[i:] in kept for i in range(1, len(e)))}
-
-
 def _ends_with_sector(text: str, sectors: dict[str, str]) -> bool:
     return names.pulled(text, sectors, "end")[1] is not None
 

@@ -7,27 +7,37 @@ belong to the index key.
 
 Aliases are first joined to proper names, which bounds the fan-out by the number of proper names near a spelling; the
 spellings without one are joined among themselves.
+
+Words and endings that many proper names share are learned from them: they tell theme, kind or manager. A glossary adds
+what they are called in either language.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factweave.llm import names
+from factweave.llm import names, vocabulary
 from factweave.session import checkpointed
 
 #: Edits a spelling may be away from another.
 MAX_EDITS = 2
+#: Letters of a spelling for each edit it may be away: short names allow fewer.
+LETTERS_PER_EDIT = 4
+#: Longer names get no spellings with exchanged syllables: their number would grow with the square of the length.
+MAX_SWAPPED = 64
 #: The exact parts of a name that leaves some of them open.
 OPEN = "?"
 PARTS_SCHEMA = "kind string, exact string, part string, swaps int"
 
-# Themes, kinds of organisations and words without meaning, as people write them.
+# A glossary of themes, kinds of organisations and words without meaning, as people write them.
 THEMES = {
     "글로벌반도체": "semiconductor", "반도체": "semiconductor", "global semiconductor": "semiconductor", "semiconductor": "semiconductor", "semicon": "semiconductor", "글로벌반도": "semiconductor",
     "로봇자동화": "robotics", "로봇": "robotics", "robotics": "robotics", "robot": "robotics",
@@ -65,12 +75,29 @@ MANAGER = re.compile(r"(\S+?)운용(?=\s|$)")
 
 def _swapped(part: str) -> list[str]:
     """Spellings with two neighbouring syllables exchanged."""
-    if not names.HANGUL.fullmatch(part[:1] or " ") or len(part) > 12:
+    if not names.HANGUL.fullmatch(part[:1] or " ") or len(part) > MAX_SWAPPED:
         return []
     return [part[:i] + part[i + 1] + part[i] + part[i + 2 :] for i in range(len(part) - 1) if part[i] != part[i + 1]]
 
 
-def read_organisation(alias: str) -> list[tuple[str, str, str, int]]:
+@dataclass(frozen=True)
+class Words:
+    """What is known of names: words for themes and kinds of organisations, and words to leave out of products' names."""
+
+    themes: dict[str, str]
+    kinds: dict[str, str]
+    others: re.Pattern
+
+    @staticmethod
+    def of(themes: dict[str, str], kinds: dict[str, str], others: Sequence[str]) -> Words:
+        """The glossary and learned words; what the glossary does not know means itself, also in Latin letters."""
+        spelled = lambda words, known: {x: known.get(w, w) for w in words for x in (names.latin(w), w)}
+        dropped = sorted({*FUND_WORDS, *others, *map(names.latin, others)}, key=lambda w: (-len(w), w))
+        pattern = re.compile("|".join(names.word_pattern(w).pattern for w in dropped))
+        return Words(names.longest_first({**spelled(themes, THEMES), **THEMES}), names.longest_first({**spelled(kinds, ORGANISATIONS), **ORGANISATIONS}), pattern)
+
+
+def read_organisation(alias: str, words: Words) -> list[tuple[str, str, str, int]]:
     """(kind, exact, spelled part, swaps made) for the ways to read an organisation's name."""
     text = names.without_legal(names.folded(alias))
     outside = re.sub(r"\([^)]*\)", " ", text)
@@ -78,17 +105,17 @@ def read_organisation(alias: str) -> list[tuple[str, str, str, int]]:
     text = re.sub(r"[,.]+", " ", text).strip()
     glued = re.sub(r"\s", "", text) if names.HANGUL.search(text) else text
     for where in ("end", "start"):
-        rest, kind = names.pulled(glued, ORGANISATIONS, where)
+        rest, kind = names.pulled(glued, words.kinds, where)
         if kind is None and glued is not text:
-            rest, kind = names.pulled(text, ORGANISATIONS, where)
+            rest, kind = names.pulled(text, words.kinds, where)
         if kind is None and where == "end" and re.search(r"[가-힣]([a-z]+)$", glued):
-            rest, kind = names.pulled(re.sub(r"([가-힣])([a-z]+)$", r"\1 \2", glued), ORGANISATIONS, "end")
+            rest, kind = names.pulled(re.sub(r"([가-힣])([a-z]+)$", r"\1 \2", glued), words.kinds, "end")
         if kind is not None:
             break
     if kind is None and re.search(r"([a-z]+)([가-힣]+)$", glued):
-        rest, kind = names.pulled(re.sub(r"([a-z])([가-힣])", r"\1 \2", glued), ORGANISATIONS, "end")
+        rest, kind = names.pulled(re.sub(r"([a-z])([가-힣])", r"\1 \2", glued), words.kinds, "end")
     if kind is None:
-        rest, kind = names.pulled(glued, ORGANISATIONS)
+        rest, kind = names.pulled(glued, words.kinds)
     rest = re.sub(r"[^a-z0-9가-힣]", "", rest)
     out = []
     for one in OPEN_KINDS.get(kind, (kind or "none",)):
@@ -96,10 +123,9 @@ def read_organisation(alias: str) -> list[tuple[str, str, str, int]]:
     return [x for x in out if x[2]]
 
 
-def _spelled(text: str, exact: str) -> list[tuple[str, str, str, int]]:
+def _spelled(text: str, exact: str, words: Words) -> list[tuple[str, str, str, int]]:
     """Readings of what is left of a product's name: each word, and the words a missing blank may hide."""
-    for word in FUND_WORDS:
-        text = names.word_pattern(word).sub(" ", text)
+    text = words.others.sub(" ", text)
     parts = [p for p in re.split(r"[^a-z가-힣]+", text) if len(p) > 1 or names.HANGUL.search(p)]
     spelled: dict[str, None] = {}
     for part in parts:
@@ -115,10 +141,11 @@ def _spelled(text: str, exact: str) -> list[tuple[str, str, str, int]]:
     return [x for x in dict.fromkeys(out) if len(x[2]) > 1]
 
 
-def read_product(alias: str) -> list[tuple[str, str, str, int]]:
+def read_product(alias: str, words: Words) -> list[tuple[str, str, str, int]]:
     """The same for a product; its exact parts are theme, series and class.
 
-    A name without all three is read as OPEN: it names a product only if its brand has no other.
+    A name without all three is read as OPEN: it names a product only if its brand has no other. With series and class
+    but no known theme it is read with the theme "" as well.
     """
     folded = names.folded(alias)
     share = CLASS.search(folded)
@@ -126,13 +153,14 @@ def read_product(alias: str) -> list[tuple[str, str, str, int]]:
     numbers = list(SERIES.finditer(text))
     if share and numbers:
         rest = MANAGER.sub(" ", f"{text[: numbers[-1].start()]} {text[numbers[-1].end() :]}")
-        rest, theme = names.pulled(rest, THEMES)
-        if theme is not None:
-            return _spelled(rest, f"{theme}|{numbers[-1][1].lstrip('0')}|{share[1]}")
-    return _spelled(MANAGER.sub(" ", folded), OPEN)
+        rest, theme = names.pulled(rest, words.themes)
+        if theme is None:
+            return _spelled(rest, f"|{numbers[-1][1].lstrip('0')}|{share[1]}", words) + _spelled(MANAGER.sub(" ", folded), OPEN, words)
+        return _spelled(rest, f"{theme}|{numbers[-1][1].lstrip('0')}|{share[1]}", words)
+    return _spelled(MANAGER.sub(" ", folded), OPEN, words)
 
 
-def read_names(df: DataFrame, keep: str, name: str, kind: str) -> DataFrame:
+def read_names(df: DataFrame, keep: str, name: str, kind: str, words: Words) -> DataFrame:
     """``keep``, kind, exact, part, swaps for every reading of every name; NULL and unreadable names have none."""
     names_df = df.select(F.col(keep), F.col(name).alias("_name"), F.upper(F.trim(F.col(kind))).alias("_kind")).where("_name IS NOT NULL")
     schema = f"{keep} {dict(names_df.dtypes)[keep]}, {PARTS_SCHEMA}"
@@ -141,7 +169,7 @@ def read_names(df: DataFrame, keep: str, name: str, kind: str) -> DataFrame:
         for batch in batches:
             at, rows = [], []
             for i, (text, which) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                read = read_organisation(text) if which == "ORGANIZATION" else read_product(text)
+                read = read_organisation(text, words) if which == "ORGANIZATION" else read_product(text, words)
                 at += [i] * len(read)
                 rows += read
             columns = list(zip(*rows)) or [(), (), (), ()]
@@ -206,29 +234,48 @@ def within_edits(left: DataFrame, right: DataFrame, exact: list[str], text: str,
     return verified.unionByName(short)
 
 
-def proper_names(products: DataFrame, entities: DataFrame) -> DataFrame:
+@F.pandas_udf(T.StringType())
+def latin_letters(text: pd.Series) -> pd.Series:
+    return text.map(names.letters, na_action="ignore")
+
+
+def organisation_names(products: DataFrame, entities: DataFrame) -> DataFrame:
+    """name: managers, issuers and organisations as they are properly called."""
+    named = products.select(F.explode(F.array("asset_manager", "issuer")).alias("name")).unionByName(entities.where(F.upper(F.trim("entity_kind")) == "ORGANIZATION").select(F.col("preferred_name").alias("name")))
+    return named.where("name IS NOT NULL").distinct()
+
+
+def learned_words(products: DataFrame, organisations: DataFrame) -> Words:
+    """The words that proper names share, with the glossary."""
+    themes, others = vocabulary.common_words(products, "product_name", "asset_manager")
+    return Words.of(themes, vocabulary.learned_endings(organisations, "name"), others)
+
+
+def proper_names(products: DataFrame, organisations: DataFrame, words: Words) -> DataFrame:
     """kind, exact, part: the spelled parts of proper names.
 
-    Funds are named "manager brand theme vehicle number class": the second word is the brand. Managers and issuers
-    are organisations.
+    Funds are named "manager brand theme vehicle number class": the second word is the brand, and the only spelled part.
     """
     fund = products.select(F.trim("product_name").alias("name")).distinct()
-    words = F.split("name", r"\s+")
-    fund = fund.where(F.size(words) >= 5).select(F.concat_ws(" ", F.slice(words, 2, 100)).alias("name"), F.lit("PRODUCT").alias("type"))
-    named = products.select(F.explode(F.array("asset_manager", "issuer")).alias("name")).unionByName(entities.where(F.upper(F.trim("entity_kind")) == "ORGANIZATION").select(F.col("preferred_name").alias("name")))
-    organisations = named.where("name IS NOT NULL").distinct().withColumn("type", F.lit("ORGANIZATION"))
-    return read_names(fund.unionByName(organisations), "name", "name", "type").where("swaps = 0").select("kind", "exact", "part").distinct()
+    split = F.split("name", r"\s+")
+    fund = fund.where(F.size(split) >= 5).select(F.concat_ws(" ", F.slice(split, 2, 100)).alias("name"), F.lit("PRODUCT").alias("type"))
+    named = fund.unionByName(organisations.select("name", F.lit("ORGANIZATION").alias("type")))
+    read = read_names(named, "name", "name", "type", words).where("swaps = 0")
+    # what follows the brand is no spelling of it; a name with its class and series is not open
+    brand = F.regexp_replace(F.lower(F.split("name", " ")[0]), "[^a-z가-힣]", "")
+    own = (F.col("kind") != "PRODUCT") | ((F.col("exact") != OPEN) & (F.col("part") == latin_letters(brand)))
+    return read.where(own).select("kind", "exact", "part").distinct()
 
 
-def _components(links: DataFrame, rounds: int = 20) -> DataFrame:
+def _components(links: DataFrame) -> DataFrame:
     """node, root for undirected links (a, b): the least node each reaches, by min-label with pointer jumping.
 
-    One count a round comes to the driver; every round is checkpointed.
+    Rounds go on until nothing changes. One count a round comes to the driver; every round is checkpointed.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = checkpointed(both)
     label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near, "a").select("a", "root", F.least("root", "m").alias("m"))
         jump = step.select(F.col("a").alias("m"), F.col("m").alias("j"))
@@ -237,40 +284,49 @@ def _components(links: DataFrame, rounds: int = 20) -> DataFrame:
         changed = new.where("next <> root").limit(1).count()
         label = new.select("a", F.col("next").alias("root"))
         if not changed:
-            break
-    return label.select(F.col("a").alias("node"), "root")
+            return label.select(F.col("a").alias("node"), "root")
+
+
+def _allowed(length: Column, k: int) -> Column:
+    """Edits that a name of this length may be away."""
+    return F.least(F.lit(k), F.floor(length / LETTERS_PER_EDIT).cast("int"))
 
 
 def link_aliases(aliases: DataFrame, products: DataFrame, entities: DataFrame, k: int = MAX_EDITS) -> DataFrame:
-    """alias_id, kind, exact, root: aliases with equal kind, exact and root name the same entity.
+    """alias_id, kind, exact, root, candidates: aliases with equal kind, exact and root name the same entity.
 
     ``root`` is the proper name nearest in edits (an exchange of syllables counts as one); where there is none, the
-    least spelling of those linked to each other. Aliases that can't be read, or leave theme, series or class of a
-    brand with several products open, name no single entity and are left out.
+    least spelling of those linked to each other. ``candidates`` is the number of proper names equally near: with more
+    than one the alias is ambiguous and goes with the least of them. Aliases that can't be read, or leave theme, series
+    or class of a brand with several products open, name no single entity and are left out, as are NULL and empty
+    ones; equal aliases get equal roots; an empty table gives no rows; other columns are dropped, whatever their names.
     """
     exact = ["kind", "exact"]
-    read = read_names(aliases, "alias_id", "alias", "alias_type")
-    read = checkpointed(read)
+    organisations = organisation_names(products, entities)
+    words = learned_words(products, organisations)
+    read = checkpointed(read_names(aliases, "alias_id", "alias", "alias_type", words))
     spellings = read.select(*exact, "part").distinct()
-    proper = proper_names(products, entities)
+    proper = checkpointed(proper_names(products, organisations, words))
     single = proper.where("kind = 'PRODUCT'").groupBy("kind", "part").agg(F.count_distinct("exact").alias("n"), F.min("exact").alias("full")).where("n = 1").select("kind", F.lit(OPEN).alias("exact"), "part", "full")
-    proper = checkpointed(proper.withColumn("full", F.col("exact")).unionByName(single))
+    proper = proper.withColumn("full", F.col("exact")).unionByName(single)
     near = within_edits(spellings, proper, exact, "part", k).join(proper.withColumnRenamed("part", "near"), [*exact, "near"])
-    scored = read.join(near, [*exact, "part"]).withColumn("cost", F.col("edits") + F.col("swaps")).where(F.col("cost") <= k)
-    best = scored.groupBy("alias_id").agg(F.min(F.struct("cost", "kind", "full", "near")).alias("b")).select("alias_id", "b.kind", F.col("b.full").alias("exact"), F.col("b.near").alias("root"))
-    best = checkpointed(best)
+    scored = read.join(near, [*exact, "part"]).withColumn("cost", F.col("edits") + F.col("swaps")).where(F.col("cost") <= _allowed(F.greatest(F.length("near"), F.length("part")), k))
+    least = scored.groupBy("alias_id", "kind", "full", "near").agg(F.min("cost").alias("cost"))
+    level = least.groupBy("alias_id", "cost").agg(F.min(F.struct("kind", "full", "near")).alias("b"), F.count(F.lit(1)).cast("int").alias("candidates"))
+    best = level.groupBy("alias_id").agg(F.min(F.struct("cost", "b", "candidates")).alias("l"))
+    best = checkpointed(best.select("alias_id", "l.b.kind", F.col("l.b.full").alias("exact"), F.col("l.b.near").alias("root"), "l.candidates"))
 
-    left = read.where(F.col("exact") != OPEN).join(best.select("alias_id"), "alias_id", "left_anti")
+    left = read.where((F.col("exact") != OPEN) & ~F.startswith("exact", F.lit("|"))).join(best.select("alias_id"), "alias_id", "left_anti")
     own = left.where("swaps = 0").groupBy("alias_id").agg(F.max(F.struct(F.length("part"), "kind", "exact", "part")).alias("o")).select("alias_id", "o.kind", "o.exact", "o.part")
     own = checkpointed(own)
     strings = own.select(*exact, "part").distinct()
     probes = left.join(own.select("alias_id"), "alias_id").select(*exact, "part").distinct()
     node = lambda part: F.concat_ws("\0", "kind", "exact", part)
     pairs = within_edits(probes, strings, exact, "part", k)
-    first = left.join(pairs, [*exact, "part"]).where(F.col("edits") + F.col("swaps") <= k).select("alias_id", *exact, "near")
+    first = left.join(pairs, [*exact, "part"]).where(F.col("edits") + F.col("swaps") <= _allowed(F.greatest(F.length("near"), F.length("part")), k)).select("alias_id", *exact, "near")
     links = first.join(own.select("alias_id", "part"), "alias_id").where("part <> near").select(node(F.col("part")).alias("a"), node(F.col("near")).alias("b"))
     roots = _components(links)
-    rest = own.withColumn("node", node(F.col("part"))).join(roots, "node", "left").select("alias_id", *exact, F.coalesce(F.element_at(F.split("root", "\0"), -1), F.col("part")).alias("root"))
+    rest = own.withColumn("node", node(F.col("part"))).join(roots, "node", "left").select("alias_id", *exact, F.coalesce(F.element_at(F.split("root", "\0"), -1), F.col("part")).alias("root"), F.lit(0).alias("candidates"))
     return best.unionByName(rest)
 
 
@@ -280,5 +336,3 @@ def same_entity_pairs(linked: DataFrame) -> DataFrame:
     a = linked.select(*keys, F.col("alias_id").alias("alias_id_1"))
     b = linked.select(*keys, F.col("alias_id").alias("alias_id_2"))
     return a.join(b, keys).where("alias_id_1 < alias_id_2").select("alias_id_1", "alias_id_2").distinct()
-
-

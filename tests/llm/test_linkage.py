@@ -1,6 +1,6 @@
 import random
 
-from factweave.llm import linkage, names
+from factweave.llm import linkage, names, vocabulary
 
 COMPANIES = [("굴셍델조텔레콤", "C1", "337770"), ("굴셍델조화학", "C2", "111110"), ("㈜멀해굼널소프트", "C3", "119860"), ("허룬맴몽바이오", "C4", "340400"), ("허룬맴몽바이오", "C5", "375200"), ("뱀셀낭벨전자", "C6", None), (None, "C7", None), ("무명", None, "999990")]
 ITEMS = {
@@ -42,8 +42,8 @@ def test_names_outside_the_glossary_link_as_a_whole(spark):
 def test_endings_are_learned_from_the_companies(spark):
     stems = ["가나다", "라마바", "사아자", "차카타", "파하거", "너더러"]
     df = spark.createDataFrame([(s + "조선",) for s in stems] + [(s + "중공업",) for s in stems] + [("혼자만",), (None,), ("",)], "issuer_name string")
-    assert linkage.learned_endings(df, "issuer_name") == {"조선": "조선", "중공업": "중공업"}
-    assert linkage.learned_endings(df.limit(0), "issuer_name") == {}
+    assert vocabulary.learned_endings(df, "issuer_name") == {"조선": "조선", "중공업": "중공업"}
+    assert vocabulary.learned_endings(df.limit(0), "issuer_name") == {}
 
 
 def test_stable_scores_are_where_the_rounds_lead(spark):

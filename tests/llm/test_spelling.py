@@ -66,3 +66,39 @@ def test_null_empty_long_and_repeated_names(spark):
     link, pairs = linked(spark, [(None, "PRODUCT"), ("", "PRODUCT"), ("가" * 20_000, "PRODUCT"), (ORGS[0], "ORGANIZATION"), (ORGS[0], "ORGANIZATION"), ("x", None)])
     assert pairs == {(3, 4)}
     assert linked(spark, [])[1] == set()
+
+
+def test_themes_and_kinds_outside_the_glossary_are_learned(spark):
+    brands = ["가나다라", "마바사아", "자차카타", "너더러머", "버서어저"]
+    others = [f"핸댄골디 {b[::-1]} {t} 증권자투자신탁 제1호[주식] 종류A" for b in brands for t in ("헬스케어", "인프라")]
+    products = [f"핸댄골디 {b} 금현물 증권자투자신탁 제{n}호[주식] 종류A" for b in brands for n in (1, 2)] + others
+    aliases = [(products[0], "PRODUCT"), ("가나다라 금현물 펀드 1호 A", "PRODUCT"), ("가나다라금현물_제1호_Class_A", "PRODUCT"), ("가나다라 금현물 2호 A", "PRODUCT"), ("마바사아 금현물 1호 A", "PRODUCT")]
+    assert linked(spark, aliases, products)[1] == {(0, 1), (0, 2), (1, 2)}
+    firms = [b + "신용정보" for b in brands]
+    names_ = [("가나다라신용정보", "ORGANIZATION"), ("가나다라 신용정보(주)", "ORGANIZATION"), ("Ganadara sinyongjeongbo", "ORGANIZATION"), ("마바사아신용정보", "ORGANIZATION"), ("신용정보 가나다라", "ORGANIZATION")]
+    assert linked(spark, names_, entities=firms)[1] == {(0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4)}
+
+
+def test_short_names_allow_fewer_edits_and_ties_are_told(spark):
+    link, pairs = linked(spark, [("가나캐피탈", "ORGANIZATION"), ("가노캐피탈", "ORGANIZATION"), ("너너캐피탈", "ORGANIZATION")], entities=["가나캐피탈", "가노캐피탈"])
+    assert pairs == set()
+    link, _ = linked(spark, [("Delmunmungean Capital", "ORGANIZATION")], entities=["델문문건캐피탈", "델문문간캐피탈"])
+    assert [r["candidates"] for r in link.collect()] == [2]
+
+
+def test_recall_on_planted_spellings(spark):
+    rng = random.Random(11)
+    syllables = [chr(0xAC00 + 588 * i + 28 * v + f) for i in (0, 2, 3, 5, 6, 7, 9, 11, 18) for v in (0, 4, 8, 13, 20) for f in (0, 4, 16, 21)]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(4))
+    kinds = ["신용정보", "캐피탈", "파트너스"]
+    firms = [(word(), rng.choice(kinds)) for _ in range(150)]
+    aliases, owner = [], []
+    for i, (stem, kind) in enumerate(firms):
+        for a in (stem + kind, f"{stem} {kind}", f"(주){stem}{kind}", f"{kind} {stem}", stem[1] + stem[0] + stem[2:] + kind, names.latin(stem) + " " + names.latin(kind), stem[:2] + rng.choice("각난달") + stem[3:] + kind):
+            aliases.append((a, "ORGANIZATION"))
+            owner.append(i)
+    pairs = linked(spark, aliases, entities=[s + k for s, k in firms])[1]
+    want = {(a, b) for a, b in itertools.combinations(range(len(owner)), 2) if owner[a] == owner[b]}
+    # one spelling in seven has a syllable replaced, which may be more than two letters
+    sure = {(a, b) for a, b in want if a % 7 < 6 and b % 7 < 6}
+    assert len(sure & pairs) / len(sure) >= 0.99 and len(pairs & want) / len(pairs) >= 0.99
