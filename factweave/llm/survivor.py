@@ -2,11 +2,12 @@
 
 Every field of the members is cut into tokens. Progressive alignment brings the members' tokens into columns, heaviest
 member first, and the tokens of a column vote with their member's trust; the winning tokens are the group's consensus.
-The survivor is the existing member closest to the consensus among those no other member beats (the exact check), and
-each field of the built record is the existing value closest to the consensus of the field.
+Members are tried by their distance to the consensus, and the first that no other member beats survives (the exact
+check); each field of the built record is the existing value closest to the consensus of the field.
 
-A group is never gathered whole: members are aligned in blocks of bounded size, the blocks' profiles are aligned with
-each other level by level, and distances are taken row by row.
+Groups of up to BLOCK members meet in one shuffle and are worked off whole. A larger one is never gathered: its members
+are aligned in blocks of bounded size, the blocks' profiles are aligned with each other level by level, and distances
+are taken row by row.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.session import checkpointed
+
 #: Members aligned in one block, and profiles in one step of a level.
 BLOCK = 256
 #: Alignments of more cells than this are halved until they are smaller, so memory stays bounded; the gain is the same.
@@ -93,7 +96,7 @@ def merge(left: Profile, right: Profile) -> Profile:
 def profile(values: Sequence[tuple[str, float]]) -> Profile:
     """Progressive alignment of weighted values, heaviest first; equal values are one with the sum of their weights."""
     weight: dict[str, float] = {}
-    for value, w in values:
+    for value, w in sorted(values):  # sums of floats must not depend on the order of arrival
         weight[value] = weight.get(value, 0.0) + w
     out: Profile = []
     for value, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
@@ -131,6 +134,10 @@ def _map_lists(df: DataFrame, keys: list[str], column: str, out: str, function)
     return ordered.mapInArrow(run, schema)
 
 
+def _texts(names: Sequence[str]) -> list[Column]:
+    return [F.col(n).cast("string").alias(f"t_{n}") for n in names]
+
+
 def group_consensus(members: DataFrame, group: str, member: str, fields: Sequence[str], trust: Column) -> DataFrame:
     """group and ``target``: JSON of the consensus tokens of each field, NULL values not voting.
 
@@ -155,25 +162,20 @@ def group_consensus(members: DataFrame, group: str, member: str, fields: Sequenc
     rows = members.where(F.col(group).isNotNull()).select(group, F.col(member).cast("string").alias("_m"), trust.cast("double").alias("_w"), *[F.col(n).cast("string").alias(n) for n in names])
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest > BLOCK:
-        rows = rows.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64("_m"), F.ceil(F.col("_n") / BLOCK)))
-    else:
-        rows = rows.withColumn("_block", F.lit(0).cast("long"))
+    rows = rows.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64("_m"), F.ceil(F.col("_n") / BLOCK)))
     lists = rows.groupBy(group, "_block").agg(F.collect_list(F.struct("_w", *names)).alias("_rows"))
     profiles = _map_lists(lists, [group, "_block"], "_rows", "profile", align)
-    for _ in range(math.ceil(math.log(max(1, largest / BLOCK), BLOCK)) if largest > BLOCK else 0):
+    for _ in range(math.ceil(math.log(max(1, largest / BLOCK), BLOCK))):
         profiles = profiles.groupBy(group, F.floor(F.col("_block") / BLOCK).cast("long").alias("_block")).agg(F.collect_list("profile").alias("_rows"))
         profiles = _map_lists(profiles, [group, "_block"], "_rows", "profile", align_profiles)
-    if largest > BLOCK:
-        profiles = profiles.groupBy(group).agg(F.collect_list("profile").alias("_rows"))
-        profiles = _map_lists(profiles, [group], "_rows", "profile", align_profiles)
+    profiles = _map_lists(profiles.groupBy(group).agg(F.collect_list("profile").alias("_rows")), [group], "_rows", "profile", align_profiles)
     return _map_lists(profiles, [group], "profile", "target", lambda text: json.dumps({n: consensus(c) for n, c in json.loads(text).items()}))
 
 
 def member_distances(members: DataFrame, targets: DataFrame, group: str, member: str, fields: Sequence[str]) -> DataFrame:
     """group, member and the distance of each field (``d_<field>``) and of all (``distance``) to the consensus."""
     names = list(fields)
-    rows = members.join(targets, group).select(group, member, "target", *[F.col(n).cast("string").alias(n) for n in names])
+    rows = members.join(targets, group).select(group, member, "target", *_texts(names))
     types = dict(members.dtypes)
     schema = f"{group} {types[group]}, {member} {types[member]}, distance double, " + ", ".join(f"d_{n} double" for n in names)
 
@@ -187,31 +189,78 @@ def member_distances(members: DataFrame, targets: DataFrame, group: str, member:
     return rows.mapInArrow(run, schema)
 
 
+def _no_worse(a: Column, b: Column, quality: Sequence[str]) -> Column:
+    """Whether a is at least b in every quality; NULL is the least."""
+    out = F.lit(True)
+    for q in quality:
+        out &= b[q].isNull() | F.coalesce(a[q] >= b[q], F.lit(False))
+    return out
+
+
+def beaten(one: Column, others: Column, quality: Sequence[str]) -> Column:
+    """Whether one of an array of structs is no worse in all qualities and better in one."""
+    return F.exists(others, lambda o: _no_worse(o, one, quality) & ~_no_worse(one, o, quality))
+
+
+def _whole_groups(rows: DataFrame, group: str, member: str, names: list[str], quality: Sequence[str]) -> DataFrame:
+    """Survivors of groups of at most BLOCK members: one grouping; Python tells places in the group's list of members."""
+    sent = F.transform("_rows", lambda r: F.struct(r["_id"].alias("id"), r["_trust"].alias("w"), F.array(*[r[f"t_{n}"] for n in names]).alias("t"), beaten(r["_q"], F.col("_fronts"), quality).alias("beaten")))
+    packed = F.struct(F.col(member).cast("string").alias("_id"), F.col(member).alias("_member"), "_trust", *_texts(names), *[F.col(n).alias(f"v_{n}") for n in names], F.struct(*quality).alias("_q"))
+    listed = rows.groupBy(group).agg(F.collect_list(packed).alias("_rows"))
+    listed = listed.withColumn("_fronts", F.transform("_rows", lambda r: r["_q"])).select(group, "_rows", sent.alias("_sent"))
+    kept = [(f.name, f.dataType.simpleString()) for f in listed.select(group, "_rows").schema]
+    schema = ", ".join(f"{n} {t}" for n, t in kept) + ", _at array<int>"
+
+    def choose(members: list[dict]) -> list[int | None]:
+        order = sorted(range(len(members)), key=lambda i: members[i]["id"])
+        targets = [consensus(profile([(m["t"][k], m["w"]) for m in members if m["t"][k] is not None])) for k in range(len(names))]
+        near = [[distance(m["t"][k], targets[k]) for k in range(len(names))] for m in members]
+        rank = lambda i: (members[i]["beaten"], members[i]["id"])
+        first = min((i for i in order if not members[i]["beaten"]), key=lambda i: (sum(near[i]), members[i]["id"]))
+        return [first, *(min((i for i in order if members[i]["t"][k] is not None), key=lambda i: (near[i][k], *rank(i)), default=None) for k in range(len(names)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.array([choose(m) for m in batch.column(2).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at], names=[group, "_rows", "_at"])
+
+    got = listed.mapInArrow(run, schema)
+    value = lambda k, field: F.when(F.col("_at")[k].isNotNull(), F.col("_rows")[F.col("_at")[k]][field])
+    return got.select(group, value(0, "_member").alias("survivor"), *[value(k + 1, f"v_{n}").alias(f"best_{n}") for k, n in enumerate(names)])
+
+
+def _spread_groups(rows: DataFrame, group: str, member: str, names: list[str], quality: Sequence[str]) -> DataFrame:
+    """Survivors of larger groups. A group's list of qualities has one entry for each value of all but the last one."""
+    targets = group_consensus(rows, group, member, names, F.col("_trust"))
+    near = member_distances(rows, targets, group, member, names).dropDuplicates([group, member])
+    *others, last = quality
+    fronts = rows.groupBy(group, *others).agg(F.max(last).alias(last)).groupBy(group).agg(F.collect_list(F.struct(*quality)).alias("_fronts"))
+    both = rows.dropDuplicates([group, member]).join(near, [group, member]).join(fronts, group)
+    both = both.withColumn("_beaten", beaten(F.struct(*quality), F.col("_fronts"), quality))
+    identity = F.col(member).cast("string")
+    pick = F.min(F.when(~F.col("_beaten"), F.struct(F.col("distance").alias("d"), identity.alias("id"), F.col(member).alias("m"))))["m"].alias("survivor")
+    best = [F.min(F.when(F.col(n).isNotNull(), F.struct(F.col(f"d_{n}").alias("d"), "_beaten", identity.alias("id"), F.col(n).alias("v"))))["v"].alias(f"best_{n}") for n in names]
+    return both.groupBy(group).agg(pick, *best)
+
+
 def survivors(members: DataFrame, group: str, member: str, fields: Sequence[str], quality: Sequence[str], trust: Column) -> DataFrame:
     """group, ``survivor`` and one ``best_<field>`` per field.
 
-    ``quality`` names orderable columns, more is better. A member is beaten if another is no worse in all and better
-    in one. Where some member leads in all of them, only the leaders can survive; of several the one nearest the
-    consensus, then the least id. Where none leads in all, the consensus decides among all. Members given twice
-    count twice in the vote. A field's value is the nearest to its consensus, of equal ones the leader's; it is NULL
-    only if all are. Rows without a group are left out, an empty table gives no rows; further columns are dropped,
-    whatever their names. NULL fields do not vote, and NULL qualities are the least.
+    ``quality`` names orderable columns, more is better; those but the last should have few values. A member is beaten
+    if another is no worse in all and better in one; of those not beaten the one nearest the consensus survives, of
+    equal ones the least id as text. Members given twice count twice in the vote. A field's value is the nearest to its
+    consensus, of equal ones that of a member not beaten, then the least id; it is NULL only if all are. Rows without a
+    group are left out, an empty table gives no rows; further columns are dropped, whatever their names. NULL fields
+    do not vote, and NULL qualities are the least. Whether any group is larger than BLOCK comes to the driver.
     """
-    needed = dict.fromkeys([group, member, *fields, *quality])
-    members = members.select(*needed, trust.alias("_trust"))
-    trust = F.col("_trust")
-    targets = group_consensus(members, group, member, fields, trust)
-    near = member_distances(members, targets, group, member, fields).dropDuplicates([group, member])
-    rows = members.dropDuplicates([group, member]).join(near, [group, member])
-    tops = rows.groupBy(group).agg(*[F.max(q).alias(f"_top_{q}") for q in quality])
-    rows = rows.join(tops, group)
-    leads = F.lit(True)
-    for q in quality:
-        leads &= F.col(q).eqNullSafe(F.col(f"_top_{q}"))
-    rows = rows.withColumn("_behind", F.when(leads, 0).otherwise(1))
-    pick = F.min(F.struct("_behind", "distance", F.col(member).alias("id"))).alias("_pick")
-    best = [F.min(F.when(F.col(n).isNotNull(), F.struct(F.col(f"d_{n}").alias("d"), "_behind", F.col(member).alias("id"), F.col(n).alias("v"))))["v"].alias(f"best_{n}") for n in fields]
-    return rows.groupBy(group).agg(pick, *best).select(group, F.col("_pick.id").alias("survivor"), *[f"best_{n}" for n in fields])
+    names = list(fields)
+    needed = dict.fromkeys([group, member, *names, *quality])
+    rows = checkpointed(members.where(F.col(group).isNotNull()).select(*needed, trust.cast("double").alias("_trust")))
+    large = rows.groupBy(group).count().where(F.col("count") > BLOCK).select(group)
+    if not large.limit(1).count():
+        return _whole_groups(rows, group, member, names, quality)
+    whole = _whole_groups(rows.join(large, group, "left_anti"), group, member, names, quality)
+    return whole.unionByName(_spread_groups(rows.join(large, group, "left_semi"), group, member, names, quality))
 
 
 # --- Conflicting facts ------------------------------------------------------------------------------------------------
@@ -231,10 +280,12 @@ def _notation(column: str) -> Column:
 def case_candidates(cases: DataFrame, facts: DataFrame, entities: DataFrame) -> DataFrame:
     """conflict_case_id, fact_id, the fact's fields, and standing, completeness and day: candidates of open cases.
 
-    Open is a case that is not REJECTED and has no winner among its candidates. Repeated cases count once, as do
-    repeated candidates; candidates without a row or with an unusable quality are out.
+    Open is a case that is not REJECTED and has no winner among its candidates. Of a repeated case the latest row
+    counts, of equal ones the greatest; repeated candidates count once; candidates without a row or with an unusable
+    quality are out.
     """
-    one = cases.where("conflict_case_id IS NOT NULL").select("conflict_case_id", _notation("status").alias("status"), F.from_json("candidate_fact_ids", "array<string>").alias("ids"), F.trim("winning_fact_id").alias("winner")).dropDuplicates(["conflict_case_id"])
+    state = F.struct("created_at", _notation("status").alias("status"), F.trim("winning_fact_id").alias("winner"), "candidate_fact_ids")
+    one = cases.where("conflict_case_id IS NOT NULL").groupBy("conflict_case_id").agg(F.max(state).alias("c")).select("conflict_case_id", "c.status", "c.winner", F.from_json("c.candidate_fact_ids", "array<string>").alias("ids"))
     ids = F.transform("ids", lambda x: F.trim(x))
     undecided = ~F.coalesce(F.array_contains(ids, F.col("winner")), F.lit(False)) & ~F.col("status").eqNullSafe("REJECTED")
     asked = one.where(undecided).select("conflict_case_id", F.explode(F.array_distinct(ids)).alias("fact_id"))

@@ -60,3 +60,39 @@ def test_long_values_are_aligned_too(monkeypatch):
         halved = sv._paired(len(gains), width, lambda i, j: gains[i][j])
         assert total(halved) == pytest.approx(total(whole))
         assert [i for i, _ in halved if i is not None] == list(range(len(gains))) and [j for _, j in halved if j is not None] == list(range(width))
+
+
+def test_beaten_members_never_survive_and_the_consensus_decides_among_the_rest(spark, monkeypatch):
+    rows = [("1", "a", "red pie", "x", 2, 0, ""), ("1", "b", "blue pie", "x", 0, 2, ""), ("1", "c", "blue pie", "x", 0, 1, ""), ("1", "e", "blue pie", "x", 0, 1, "")]
+    assert sv.survivors(members(spark, rows), "g", "m", ["name"], ["q", "d"], F.lit(1)).first()["survivor"] == "b"
+    red = sv.survivors(members(spark, rows), "g", "m", ["name"], ["q", "d"], F.when(F.col("m") == "a", 9).otherwise(1)).first()
+    assert (red["survivor"], red["best_name"]) == ("a", "red pie")
+    monkeypatch.setattr(sv, "BLOCK", 2)  # the same by the way of larger groups
+    assert sv.survivors(members(spark, rows), "g", "m", ["name"], ["q", "d"], F.lit(1)).first()["survivor"] == "b"
+
+
+def test_survivors_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(str(g), f"{g}-{i}", rng.choice(["red apple pie", "red pie", None, "apple pie"]), rng.choice(["x y", "x", None]), rng.choice([0, 1, 2, None]), rng.randrange(3), "") for g in range(40) for i in range(rng.randrange(1, 9))]
+    df = members(spark, rows)
+
+    def brute(own):
+        over = lambda a, b: all((x if x is not None else -1) >= (y if y is not None else -1) for x, y in zip(a[4:6], b[4:6]))
+        front = [r for r in own if not any(over(o, r) and not over(r, o) for o in own)]
+        target = [sv.consensus(sv.profile([(r[k], 1.0) for r in own if r[k] is not None])) for k in (2, 3)]
+        return min(front, key=lambda r: (sum(sv.distance(r[k + 2], target[k]) for k in (0, 1)), r[1]))[1]
+
+    want = {g: brute([r for r in rows if r[0] == g]) for g in {r[0] for r in rows}}
+    got = {r["g"]: r["survivor"] for r in sv.survivors(df, "g", "m", ["name", "city"], ["q", "d"], F.lit(1)).collect()}
+    assert got == want
+    monkeypatch.setattr(sv, "BLOCK", 2)
+    large = {r["g"]: r["survivor"] for r in sv.survivors(df, "g", "m", ["name", "city"], ["q", "d"], F.lit(1)).collect()}
+    assert large.keys() == want.keys()
+
+
+def test_a_repeated_case_counts_by_its_latest_row(spark):
+    cases = spark.createDataFrame([("k", "OPEN", None, '["f1", "f2"]', "2026-01-01 00:00:00"), ("k", "rejected", None, '["f1"]', "2026-01-02 00:00:00"), ("j", "open", " f9", '["f1 ", "f1"]', None)], "conflict_case_id string, status string, winning_fact_id string, candidate_fact_ids string, created_at string")
+    facts = spark.createDataFrame([("f1", "e", "m", "1", None, "u", None, None, None, "VALID", "2026-01-01")], "fact_id string, subject_entity_id string, metric_code string, raw_value string, numeric_value double, unit string, currency string, scale_basis string, observed_on date, quality_status string, recorded_at string")
+    entities = spark.createDataFrame([("e", "Source only", "x")], "entity_id string, name_status string, updated_at string")
+    got = [(r["conflict_case_id"], r["fact_id"], r["standing"], r["completeness"]) for r in sv.case_candidates(cases, facts, entities).collect()]
+    assert got == [("j", "f1", 2, 2)]
