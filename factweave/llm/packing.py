@@ -3,8 +3,8 @@
 A document longer than a container fills as many as it can and leaves a rest; rests and the other documents are items.
 Items are dealt to blocks of bounded size. In a block a best-fit start is improved by moving items, exchanging one for
 one, and two for one, out of the least filled container into fuller ones, always raising the sum of squared fills, until
-containers empty. Containers that stay underfull hand their items to the next level, where many blocks' remainders
-make one block, until one block is left.
+containers empty. Containers that stay underfull hand their items to the next level, where they are dealt anew to blocks
+of the same size, until one block is left or a level settles next to nothing.
 """
 
 from __future__ import annotations
@@ -19,14 +19,12 @@ from pyspark.sql import functions as F
 
 from factweave.session import checkpointed
 
-#: Items of a block, and blocks whose remainders meet in one block of the next level.
-BLOCK_ITEMS, FAN_IN = 8192, 64
-#: Containers filled less than this are packed again at the next level.
-HANDED_ON = 0.995
+#: Most items of a block, and the part of it that hashing aims at.
+BLOCK_ITEMS, AIM = 8192, 0.8
+#: Containers filled less than this are packed again at the next level, if the level settled at least this part of its items.
+HANDED_ON, PROGRESS = 0.995, 0.05
 #: Tasks over which a level's blocks are spread at most.
 MAX_TASKS = 20_000
-#: Improvements tried in a block per container.
-TRIES = 60
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -89,15 +87,16 @@ def _best_exchange(source: list[int], target: list[int], sizes: list[int], gap:
 
 
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Local search over underfull containers: each step takes from the least filled and raises the sum of squares."""
+    """Local search over underfull containers: each step takes from the least filled and raises the sum of squares.
+
+    It ends because the sum is bounded and whole, and a container nothing can leave is not tried again as a source.
+    """
     fill = [sum(sizes[i] for i in b) for b in bins]
     under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    budget = TRIES * max(1, len(under))
-    while len(under) > 1 and budget > 0:
+    while len(under) > 1:
         source = under[0]
         changed = False
         for target in reversed(under[1:]):
-            budget -= 1
             gain, out, back = _best_exchange(bins[source], bins[target], sizes, capacity - fill[target])
             if gain > 0 and fill[target] + gain > fill[source]:
                 bins[source] = [i for i in bins[source] if i not in out] + list(back)
@@ -105,7 +104,7 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
                 fill[source] -= gain
                 fill[target] += gain
                 changed = True
-                if not bins[source] or budget <= 0:
+                if not bins[source]:
                     break
         under = [k for k in under if bins[k] and fill[k] < capacity]
         if not changed:
@@ -126,59 +125,70 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def items_of(sized: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """(full, items): containers filled by one document's parts, and what is left to pack. Both doc_id, piece, tokens."""
-    sized = sized.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+    """(full, items): containers filled by one document's parts, and what is left to pack. Both doc_id, copy, piece, tokens."""
     over = F.col("tokens") > capacity
     n_full = F.floor(F.col("tokens") / capacity).cast("int")
-    full = sized.where(over).select("doc_id", F.explode(F.sequence(F.lit(0), n_full - 1)).alias("piece"), F.lit(capacity).cast("bigint").alias("tokens"))
+    full = sized.where(over).select("doc_id", "copy", F.explode(F.sequence(F.lit(0), n_full - 1)).alias("piece"), F.lit(capacity).cast("bigint").alias("tokens"))
     rest = F.pmod(F.col("tokens"), F.lit(capacity).cast("bigint"))
-    items = sized.select("doc_id", F.when(over, n_full).otherwise(0).alias("piece"), F.when(over, rest).otherwise(F.greatest("tokens", F.lit(0))).alias("tokens"), over.alias("_over"))
+    items = sized.select("doc_id", "copy", F.when(over, n_full).otherwise(0).alias("piece"), F.when(over, rest).otherwise(F.greatest("tokens", F.lit(0))).alias("tokens"), over.alias("_over"))
     return full, items.where(~F.col("_over") | (F.col("tokens") > 0)).drop("_over")
 
 
 def _pack_blocks(items: DataFrame, capacity: int, level: int, blocks: int) -> DataFrame:
-    """Items with ``container`` (NULL if handed on); each block is one group of bounded size."""
+    """Items with ``container`` and whether it is ``settled``; a block that hashing made too large is cut."""
     kind = dict(items.dtypes)["doc_id"]
+    most = BLOCK_ITEMS
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("copy", "ascending")])
         sizes = table["tokens"].to_pylist()
         block = table["block"][0].as_py()
-        container: list[str | None] = [None] * len(sizes)
-        for k, members in enumerate(pack(sizes, capacity)):
-            if blocks > 1 and sum(sizes[i] for i in members) < HANDED_ON * capacity:
-                continue
-            for i in members:
-                container[i] = f"{level}-{block}-{k}"
-        return table.select(["doc_id", "piece", "tokens", "block"]).append_column("container", pa.array(container, pa.string()))
+        container, settled = [""] * len(sizes), [False] * len(sizes)
+        parts = -(-len(sizes) // most)
+        for part in range(parts):
+            own = range(part, len(sizes), parts)
+            for k, members in enumerate(pack([sizes[i] for i in own], capacity)):
+                full = sum(sizes[own[i]] for i in members) >= HANDED_ON * capacity
+                for i in members:
+                    container[own[i]], settled[own[i]] = f"{level}-{block}-{part}-{k}", full
+        return table.select(["doc_id", "piece", "copy", "tokens"]).append_column("container", pa.array(container, pa.string())).append_column("settled", pa.array(settled, pa.bool_()))
 
     # a stated number of partitions, or adaptive execution puts many blocks, small in bytes, into one task
-    spread = items.repartition(min(blocks, MAX_TASKS), "block") if blocks > 1 else items
-    return spread.groupBy("block").applyInArrow(run, f"doc_id {kind}, piece int, tokens bigint, block bigint, container string")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "copy", F.lit(level)), F.lit(blocks).cast("bigint")))
+    spread = dealt.repartition(min(blocks, MAX_TASKS), "block") if blocks > 1 else dealt
+    return spread.groupBy("block").applyInArrow(run, f"doc_id {kind}, piece int, copy bigint, tokens bigint, container string, settled boolean")
 
 
 def containers(sized: DataFrame, capacity: int) -> DataFrame:
     """container_id, doc_id, piece, tokens for (doc_id, tokens): every document in one piece unless over the capacity.
 
-    One count a level comes to the driver. A NULL size counts as 0, as do empty documents, which lie in some container
-    too; an empty table gives no rows; a document given twice is laid twice. A capacity below 1 is an error.
+    Two counts a level come to the driver. A NULL size counts as 0, as do empty documents, which lie in some container
+    too; an empty table gives no rows; a document given twice is laid twice. A capacity below 1 is an error. Blocks
+    follow from ids, so the result does not depend on how the input is split.
     """
     if capacity < 1:
         raise ValueError(f"a container of {capacity} tokens holds nothing")
-    full, items = items_of(sized, capacity)
-    out = full.select(F.concat(F.lit("full-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container_id"), "doc_id", "piece", "tokens")
-    items = checkpointed(items.withColumn("_row", F.monotonically_increasing_id()))
-    blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
-    rest = items.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks).cast("bigint"))).select("doc_id", "piece", "tokens", "block")
-    for level in range(32):
+    copies = sized.groupBy("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
+    single = copies.select("doc_id", "tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
+    full, items = items_of(single, capacity)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    out = full.select(F.concat_ws("-", F.lit("full"), text("doc_id"), text("copy"), text("piece")).alias("container_id"), "doc_id", "piece", "tokens")
+    rest = checkpointed(items)
+    n = rest.count()
+    level = 0
+    while True:
+        blocks = max(1, math.ceil(n / (AIM * BLOCK_ITEMS))) if n > BLOCK_ITEMS else 1
         packed = _pack_blocks(rest, capacity, level, blocks)
+        laid = lambda rows: rows.select(F.col("container").alias("container_id"), "doc_id", "piece", "tokens")
         if blocks == 1:
-            return out.unionByName(packed.select(F.col("container").alias("container_id"), "doc_id", "piece", "tokens"))
+            return out.unionByName(laid(packed))
         packed = checkpointed(packed)
-        out = out.unionByName(packed.where("container IS NOT NULL").select(F.col("container").alias("container_id"), "doc_id", "piece", "tokens"))
-        left = packed.where("container IS NULL")
-        blocks = max(1, min(math.ceil(blocks / 2), math.ceil(left.count() / BLOCK_ITEMS)), math.ceil(blocks / FAN_IN))
-        rest = left.select("doc_id", "piece", "tokens", F.pmod(F.col("block"), F.lit(blocks).cast("bigint")).alias("block"))
-    raise AssertionError("each level at least halves the blocks")
+        rest = packed.where(~F.col("settled")).select("doc_id", "piece", "copy", "tokens")
+        left = rest.count()
+        if n - left < PROGRESS * n:
+            return out.unionByName(laid(packed))
+        out = out.unionByName(laid(packed.where("settled")))
+        n, level = left, level + 1
 
 
 def fill_report(packed: DataFrame, by: list[str]) -> DataFrame:

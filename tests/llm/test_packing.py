@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factweave.llm import packing
 
@@ -25,7 +26,6 @@ def test_exchanges_beat_the_start():
 
 def test_containers(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_ITEMS", 200)
-    monkeypatch.setattr(packing, "FAN_IN", 2)
     rng = random.Random(1)
     docs = [(i, rng.choice([0, rng.randrange(1, 100), rng.randrange(1, 900)]), "x") for i in range(2500)]
     out = packing.containers(spark.createDataFrame(docs, "doc_id long, tokens long, piece string"), 256).toPandas()
@@ -51,3 +51,36 @@ def test_exchanges_look_at_all_items():
     assert packing._best_exchange(list(range(130)), [130], sizes, 3) == (3, (128, 129), (130,))
     sizes = [9, *[20] * 130, 3, 4]
     assert packing._best_exchange([0], list(range(1, 133)), sizes, 2) == (2, (0,), (131, 132))
+
+
+def test_blocks_stay_bounded_where_nothing_combines(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 500)
+    seen = []
+    dealt = packing._pack_blocks
+    monkeypatch.setattr(packing, "_pack_blocks", lambda items, capacity, level, blocks: seen.append((items.count(), blocks)) or dealt(items, capacity, level, blocks))
+    out = packing.containers(spark.range(8000).select(F.col("id").alias("doc_id"), F.lit(150).alias("tokens")), 256).toPandas()
+    assert out.doc_id.is_unique and out.container_id.nunique() == len(out) == 8000
+    assert all(blocks >= n / 500 for n, blocks in seen) and len(seen) < 3
+
+
+def test_a_block_that_hashing_overfills_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 50)
+    sizes = []
+    pack = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda s, c: sizes.append(len(s)) or pack(s, c))
+    items = spark.createDataFrame([(i, 0, 1, 7) for i in range(180)], "doc_id long, piece int, copy long, tokens long")
+    rows = packing._pack_blocks(items, 70, 0, 1).toPandas()
+    assert len(rows) == 180 and rows.groupby("container").tokens.sum().max() <= 70
+    assert rows.container.str.split("-").str[2].value_counts().max() <= 50
+
+
+def test_layout_does_not_depend_on_input_splits(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 100)
+    docs = spark.range(700).select(F.col("id").alias("doc_id"), (F.col("id") * 37 % 200).alias("tokens"))
+    got = [sorted(map(tuple, packing.containers(docs.repartition(n), 256).collect())) for n in (1, 7)]
+    assert got[0] == got[1]
+
+
+def test_documents_given_twice_are_laid_twice(spark):
+    out = packing.containers(spark.createDataFrame([(1, 300), (1, 300), (1, 20), (None, 5)], "doc_id long, tokens long"), 100).toPandas()
+    assert out.tokens.sum() == 625 and out.groupby("container_id").tokens.sum().max() <= 100
