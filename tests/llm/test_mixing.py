@@ -1,5 +1,7 @@
+import random
 from fractions import Fraction
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,6 +47,40 @@ def test_shares_repeats_and_order(spark):
     assert off < 3 * 50
 
 
+def test_every_prefix_of_the_order_is_within_a_block(spark):
+    rng = random.Random(4)
+    docs = [(i, rng.choice("aaab"), rng.randrange(3, 40), 0) for i in range(1500)] + [(9000 + i, "c", rng.randrange(3, 40), 0) for i in range(40)]
+    rows, shares = mixed(spark, docs, [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 9)])
+    rows = rows.assign(block=rows.slot * 50 + rows.offset)
+    longest, total = 39, rows.tokens.sum()
+    for k, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+        own = rows[rows.source == k].sort_values(["slot", "offset"])
+        ends = own.tokens.cumsum()
+        # documents lie end to end: each starts where the ones before it end, save the gap that nothing fills
+        slots = sorted(set(rows.slot[rows.source == k]))
+        assert ((own.tokens.cumsum() - own.tokens) // 50).tolist() == [slots.index(x) for x in own.slot]
+        for slot in range(0, int(rows.slot.max()) + 1):
+            laid = ends[own.slot <= slot].max() if (own.slot <= slot).any() else 0
+            assert abs(laid - share * 50 * (slot + 1)) < 50 + longest or slot * 50 > total - 150
+        assert abs(shares[k]["actual_share"] - share) < 0.005
+    assert rows.slot.max() <= total // 50 + 3
+    assert not rows.duplicated(["doc_id", "use"]).any()
+
+
+def test_fillers_lie_in_the_gap(spark):
+    docs = [(i, "a", 30, 0) for i in range(10)] + [(100 + i, "b", 1, 0) for i in range(100)] + [(200, "a", 7, 0), (201, "a", 2, 0), (202, "a", 1, 0)]
+    rows, shares = mixed(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)])
+    assert shares["a"]["tokens"] == shares["b"]["tokens"] == 100
+    assert rows.slot.max() == 3
+
+
+def test_shares_are_exact_or_refused():
+    period, slots = mixing.quotas({"a": Fraction("0.123457"), "b": 1 - Fraction("0.123457")})
+    assert period == 10**6 and slots["a"] == 123457
+    with pytest.raises(ValueError):
+        mixing.quotas({"a": Fraction("0.1234567"), "b": 1 - Fraction("0.1234567")})
+
+
 def test_nothing_to_mix(spark):
     rows, shares = mixed(spark, [], [("a", 1.0, 1)])
     assert len(rows) == 0 and shares["a"]["tokens"] == 0
