@@ -7,6 +7,8 @@ one per subject and script, because either script has its own words. They are re
 and the weight of a term with them: a term spread over subjects as the corpus is weighs nothing. At last sentences are
 embedded with these weights, their centroids refined, and a document gets the subjects that enough of its sentences
 are nearest to.
+
+Texts are read once, into chunks of flat arrays of numbers; every pass works on those alone.
 """
 
 from __future__ import annotations
@@ -75,101 +77,104 @@ def word_features(word: str, size: int) -> np.ndarray:
     return np.array(sorted({zlib.crc32(g.encode()) % size for g in grams | {"=" + word}}), dtype=np.int64)
 
 
-#: Rows summed at a time, and documents worked on at a time.
-GATHER, CHUNK = 100_000, 1000
+#: Rows summed at a time, and documents and characters that make a chunk (a longer text is a chunk of its own).
+GATHER, CHUNK, CHUNK_LETTERS = 100_000, 4000, 4_000_000
+
 
+def spread(counts: np.ndarray) -> np.ndarray:
+    """0 as often as the first count says, 1 as the second, and so on."""
+    return np.repeat(np.arange(len(counts)), counts)
 
-class Lexicon:
-    """Words met by a task, with features and embeddings; forgotten when there are too many."""
 
-    def __init__(self, size: int, limit: int = 50_000) -> None:
-        self.size, self.limit = size, limit
-        self.clear()
+@dataclass
+class Chunk:
+    """Some documents, read once and kept as flat arrays: sentences, their words, and the words' features.
 
-    def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.features: list[np.ndarray] = []
-        self.known: dict[str, np.ndarray] = {}
-        self.embedded: np.ndarray | None = None
+    Sentences and words are numbered within the chunk; equal sentences are one. Word numbers say nothing outside, so no
+    lexicon of the corpus is needed.
+    """
 
-    def full(self) -> bool:
-        return len(self.words) > self.limit or len(self.known) > self.limit
+    doc: np.ndarray  # the document of every sentence, and which sentence of the chunk it is
+    sentence: np.ndarray
+    korean: np.ndarray  # by sentence of the chunk
+    lengths: np.ndarray
+    word: np.ndarray  # words of all sentences of the chunk in a row
+    features: np.ndarray  # of all words in a row, and how many each has
+    counts: np.ndarray
+    in_doc: np.ndarray  # how many words each document has, which, and their damped counts
+    held: np.ndarray
+    tf: np.ndarray
 
-    def sentence(self, text: str) -> np.ndarray:
-        found = self.known.get(text)
-        if found is None:
-            at = []
-            for w in WORD.findall(text):
-                i = self.words.get(w)
+    @staticmethod
+    def of(texts: list[list[str] | None], size: int) -> Chunk:
+        words: dict[str, int] = {}
+        known: dict[str, int] = {}
+        rows: list[list[int]] = []
+        doc, sentence, korean = [], [], []
+        for d, parts in enumerate(texts):
+            for s in parts or ():
+                i = known.get(s)
                 if i is None:
-                    i = self.words[w] = len(self.features)
-                    self.features.append(word_features(w, self.size))
-                at.append(i)
-            found = self.known[text] = np.array(at, dtype=np.int64)
-        return found
-
-    def spread(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features of all words in a row, the word of each, and the features' number of each word."""
-        counts = np.fromiter(map(len, self.features), dtype=np.int64, count=len(self.features))
-        flat = np.concatenate(self.features) if self.features else np.zeros(0, np.int64)
-        return flat, np.repeat(np.arange(len(counts)), counts), counts
-
-    def embed(self, matrix: np.ndarray) -> np.ndarray:
-        """Mean of the matrix's rows over each word's features; a task asks with one matrix, so old words are kept."""
-        have = 0 if self.embedded is None else len(self.embedded)
-        new = self.features[have:]
-        if new:
-            counts = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-            means = gathered(matrix, np.concatenate(new), np.repeat(np.arange(len(new)), counts), len(new)) / counts[:, None]
-            means = means.astype(np.float32)
-            self.embedded = means if self.embedded is None else np.concatenate([self.embedded, means])
-        return np.zeros((0, matrix.shape[1]), np.float32) if self.embedded is None else self.embedded
+                    i = known[s] = len(rows)
+                    rows.append([words.setdefault(w, len(words)) for w in WORD.findall(s)])
+                    korean.append(HANGUL.search(s) is not None)
+                doc.append(d)
+                sentence.append(i)
+        features = [word_features(w, size) for w in words]
+        lengths = np.fromiter(map(len, rows), np.int32, len(rows))
+        flat = np.fromiter((w for r in rows for w in r), np.int32, int(lengths.sum()))
+        doc_, sentence_ = np.array(doc, np.int32), np.array(sentence, np.int32)
+        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(lengths) else np.zeros(0, np.int64)
+        n = lengths[sentence_] if len(sentence_) else np.zeros(0, np.int32)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        all_words = flat[np.repeat(starts[sentence_], n) + inner] if len(n) else np.zeros(0, np.int32)
+        pairs, times = np.unique(np.repeat(doc_, n).astype(np.int64) * max(len(words), 1) + all_words, return_counts=True)
+        in_doc = np.bincount(pairs // max(len(words), 1), minlength=len(texts)).astype(np.int32)
+        counts = np.fromiter(map(len, features), np.int32, len(features))
+        return Chunk(doc_, sentence_, np.array(korean, np.int8), lengths, flat, np.concatenate(features).astype(np.int32) if features else np.zeros(0, np.int32), counts, in_doc, (pairs % max(len(words), 1)).astype(np.int32), (1 + np.log(times)).astype(np.float32))
 
+    def packed(self) -> list[bytes]:
+        return [getattr(self, name).tobytes() for name in CHUNK_ARRAYS]
 
-@dataclass
-class Batch:
-    """Documents of one Arrow batch as flat arrays: words of sentences of documents."""
+    @staticmethod
+    def unpacked(parts: list) -> Chunk:
+        return Chunk(*(np.frombuffer(part, kind) for part, kind in zip(parts, CHUNK_ARRAYS.values())))
 
-    ids: pa.Array
-    n: int
-    doc_of_sentence: np.ndarray
-    korean: np.ndarray
-    word: np.ndarray
-    sentence_of_word: np.ndarray
+    @property
+    def n(self) -> int:
+        return len(self.in_doc)
 
-    @staticmethod
-    def read(ids: pa.Array, texts: list[list[str]], lexicon: Lexicon) -> Batch:
-        words, korean, owner = [], [], []
-        for d, parts in enumerate(texts):
-            for s in parts or ():
-                words.append(lexicon.sentence(s))
-                korean.append("가" <= max(s) and any("가" <= c <= "힣" for c in s))
-                owner.append(d)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        flat = np.concatenate(words) if words else np.zeros(0, np.int64)
-        return Batch(ids, len(texts), np.array(owner, np.int64), np.array(korean, np.int64), flat, np.repeat(np.arange(len(words)), lengths))
-
-    def counts(self, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, word and damped count of each pair that occurs."""
-        pairs, n = np.unique(self.doc_of_sentence[self.sentence_of_word] * max(n_words, 1) + self.word, return_counts=True)
-        return pairs // max(n_words, 1), pairs % max(n_words, 1), (1 + np.log(n)).astype(np.float32)
+    def embedded(self, matrix: np.ndarray) -> np.ndarray:
+        """Mean of the matrix's rows over each word's features."""
+        return gathered(matrix, self.features, spread(self.counts), len(self.counts)) / np.maximum(self.counts, 1)[:, None]
+
+    def to_features(self, by_word: np.ndarray, size: int) -> np.ndarray:
+        """Rows of words added to the rows of their features."""
+        order = np.argsort(self.features, kind="stable")
+        return gathered(by_word, spread(self.counts)[order], self.features[order], size)
 
     def scripts(self) -> np.ndarray:
         """1 for documents mostly in Korean sentences, else 0."""
-        total = np.bincount(self.doc_of_sentence, minlength=self.n)
-        return (np.bincount(self.doc_of_sentence, self.korean, minlength=self.n) * 2 > total).astype(np.int64)
+        total = np.bincount(self.doc, minlength=self.n)
+        return (np.bincount(self.doc, self.korean[self.sentence], minlength=self.n) * 2 > total).astype(np.int64)
+
+
+#: The arrays of a chunk in order, with their types.
+CHUNK_ARRAYS = {"doc": np.int32, "sentence": np.int32, "korean": np.int8, "lengths": np.int32, "word": np.int32, "features": np.int32, "counts": np.int32, "in_doc": np.int32, "held": np.int32, "tf": np.float32}
+HANGUL = re.compile("[가-힣]")
 
 
 def gathered(matrix: np.ndarray, rows: np.ndarray, groups: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Weighted sums of a matrix's rows by group, worked off in blocks, so memory does not follow the text."""
     out = np.zeros((n, matrix.shape[1]), dtype=np.float64)
+    if len(groups) and (groups[1:] < groups[:-1]).any():
+        order = np.argsort(groups, kind="stable")
+        rows, groups, weights = rows[order], groups[order], None if weights is None else weights[order]
     for i in range(0, len(groups), GATHER):
         g = groups[i : i + GATHER]
-        order = np.argsort(g, kind="stable")
-        values = matrix[rows[i : i + GATHER][order]].astype(np.float64)
+        values = matrix[rows[i : i + GATHER]].astype(np.float64)
         if weights is not None:
-            values *= weights[i : i + GATHER][order, None]
-        g = g[order]
+            values *= weights[i : i + GATHER, None]
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         out[g[first]] += np.add.reduceat(values, first, axis=0)
     return out
@@ -179,47 +184,29 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, Chunk]]:
     for batch in batches:
-        for i in range(0, batch.num_rows, CHUNK):
-            yield batch.slice(i, CHUNK)
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i], Chunk.unpacked([batch.column(k + 1)[i].as_buffer() for k in range(len(CHUNK_ARRAYS))])
 
 
-def _passes(docs: DataFrame, p: Parameters, width: int, step: Callable[[Batch, Lexicon], np.ndarray], by_word: bool, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _passes(chunks: DataFrame, p: Parameters, width: int, step: Callable[[Chunk], np.ndarray], by_word: bool, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sum over all documents of a matrix of features x width (and of ``extra`` further rows).
 
-    ``step`` gives rows for the lexicon's words, then the extra rows; words' rows go to their features. Each task sends
-    its matrix once, in blocks, and blocks are added as they stream in. The result's size is fixed by the parameters.
+    ``step`` gives rows for a chunk's words (or features), then the extra rows; words' rows go to their features. Each
+    task sends its matrix once, in blocks, and blocks are added as they stream in. The result's size is fixed by the
+    parameters.
     """
     rows = p.features + extra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, total = Lexicon(p.features), np.zeros((rows, width))
-        held = np.zeros((0, width))
-
-        def flush() -> None:
-            nonlocal held
-            if by_word and len(held):
-                flat, owner, _ = lexicon.spread()
-                total[: p.features] += gathered(held, owner, flat, p.features)
-            held = np.zeros((0, width))
-
-        for chunk in chunks(batches):
-            b = Batch.read(chunk.column(0), chunk.column(1).to_pylist(), lexicon)
-            got = step(b, lexicon)
-            n = len(lexicon.features) if by_word else p.features
-            if by_word:
-                grown = np.zeros((n, width))
-                grown[: len(held)] = held
-                held = grown + got[:n]
-            else:
-                total[: p.features] += got[:n]
+        total = np.zeros((rows, width))
+        for _, chunk in _read_chunks(batches):
+            got = step(chunk)
+            n = len(chunk.counts) if by_word else p.features
+            total[: p.features] += chunk.to_features(got[:n], p.features) if by_word else got[:n]
             if extra:
                 total[p.features :] += got[n:]
-            if lexicon.full():
-                flush()
-                lexicon.clear()
-        flush()
         at = [i for i in range(0, rows, p.block) if total[i : i + p.block].any()]
         yield pa.RecordBatch.from_arrays([pa.array([i // p.block for i in at], pa.int32()), pa.array([total[i : i + p.block].astype(np.float32).tobytes() for i in at], pa.binary())], names=["block", "part"])
 
@@ -232,8 +219,8 @@ def _passes(docs: DataFrame, p: Parameters, width: int, step: Callable[[Batch, L
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], names=["block", "part"])
 
     schema = "block int, part binary"
-    parts = docs.select("doc_id", "sentences").mapInArrow(run, schema)
-    partitions = docs.rdd.getNumPartitions()
+    parts = chunks.select("ids", *CHUNK_ARRAYS).mapInArrow(run, schema)
+    partitions = chunks.rdd.getNumPartitions()
     if partitions > 512:  # in two steps, so no task adds up more than the root of their number
         parts = parts.repartition(int(partitions**0.5) * 8, "block", F.pmod(F.spark_partition_id(), F.lit(int(partitions**0.5)))).mapInArrow(add, schema)
     total = np.zeros((rows, width))
@@ -243,18 +230,51 @@ def _passes(docs: DataFrame, p: Parameters, width: int, step: Callable[[Batch, L
     return total[: p.features], total[p.features :]
 
 
-def sentence_table(documents: DataFrame) -> DataFrame:
-    """doc_id, sentences of every text; NULL or empty texts have none. Written once, read by every pass."""
+def _sentences_of(texts: DataFrame, keep: str) -> DataFrame:
+    """``keep`` and the sentences of each text."""
+    kind = dict(texts.dtypes)[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sentences(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "sentences"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sentences(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=[keep, "sentences"])
+
+    return texts.select(keep, "text").mapInArrow(run, f"{keep} {kind}, sentences array<string>")
 
-    spark = documents.sparkSession
+
+def chunk_table(documents: DataFrame, size: int) -> DataFrame:
+    """ids and the arrays of a chunk per row: every text cut and numbered once, for all passes to read.
+
+    NULL or empty texts have no sentences. A chunk is bounded by documents and characters.
+    """
     kind = dict(documents.dtypes)["doc_id"]
+    names = ["ids", *CHUNK_ARRAYS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list[list[str]] = []
+        letters = 0
+
+        def flush(of: pa.DataType) -> pa.RecordBatch:
+            row = [pa.array([ids], pa.list_(of)), *(pa.array([x], pa.binary()) for x in Chunk.of(texts, size).packed())]
+            return pa.RecordBatch.from_arrays(row, names=names)
+
+        of = None
+        for batch in batches:
+            of = batch.column(0).type
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if ids and (len(ids) >= CHUNK or letters + len(t or "") > CHUNK_LETTERS):
+                    yield flush(of)
+                    ids, texts, letters = [], [], 0
+                ids.append(i)
+                texts.append(sentences(t or ""))
+                letters += len(t or "")
+        if ids:
+            yield flush(of)
+
+    context = documents.sparkSession.sparkContext
     texts = documents.select("doc_id", "text")
-    wanted = max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
-    return checkpointed(texts.repartition(wanted).mapInArrow(run, f"doc_id {kind}, sentences array<string>"))
+    wanted = max(context.defaultParallelism, texts.rdd.getNumPartitions())
+    return checkpointed(texts.repartition(wanted).mapInArrow(run, f"ids array<{kind}>, " + ", ".join(f"{n} binary" for n in CHUNK_ARRAYS)))
 
 
 class SubjectModel:
@@ -276,67 +296,61 @@ class SubjectModel:
         model.subjects, model.p, model.matrix, model.centroids, model.length = parts[0], Parameters(**parts[1]), *parts[2:]
         return model
 
-    def doc_vectors(self, b: Batch, lexicon: Lexicon, emb: np.ndarray) -> np.ndarray:
-        d, w, tf = b.counts(len(lexicon.features))
-        return unit(gathered(emb, w, d, b.n, tf))
+    def doc_vectors(self, c: Chunk, emb: np.ndarray) -> np.ndarray:
+        return unit(gathered(emb, c.held, spread(c.in_doc), c.n, c.tf))
 
     def posterior(self, vectors: np.ndarray, scripts: np.ndarray) -> np.ndarray:
         score = self.p.softness * np.einsum("nd,ncd->nc", vectors, self.centroids[scripts])
         e = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else score
         return e / np.maximum(e.sum(axis=1, keepdims=True), 1e-12)
 
-    def sentence_vectors(self, b: Batch, emb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors, lengths and nearness to each subject's centroid in the sentence's script."""
-        vectors = gathered(emb, b.word, b.sentence_of_word, len(b.doc_of_sentence))
+    def sentence_vectors(self, c: Chunk, emb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chunk's sentences: vectors, lengths and nearness to each subject's centroid in the sentence's script."""
+        vectors = gathered(emb, c.word, spread(c.lengths), len(c.lengths))
         length = np.linalg.norm(vectors, axis=1)
-        near = np.einsum("nd,ncd->nc", unit(vectors), self.centroids[b.korean]) if len(vectors) else np.zeros((0, len(self.subjects)))
+        near = np.einsum("nd,ncd->nc", unit(vectors), self.centroids[c.korean.astype(np.int64)]) if len(vectors) else np.zeros((0, len(self.subjects)))
         return vectors, length, near
 
 
-def _document_frequency(docs: DataFrame, p: Parameters) -> tuple[np.ndarray, float]:
-    def step(b: Batch, lexicon: Lexicon) -> np.ndarray:
-        d, w, _ = b.counts(len(lexicon.features))
-        flat, _, counts = lexicon.spread()
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else np.zeros(0, np.int64)
-        n = counts[w] if len(w) else np.zeros(0, np.int64)
+def _document_frequency(chunks: DataFrame, p: Parameters) -> tuple[np.ndarray, float]:
+    def step(c: Chunk) -> np.ndarray:
+        starts = np.cumsum(c.counts) - c.counts
+        n = c.counts[c.held]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pairs = np.unique(np.repeat(d, n) * p.features + flat[np.repeat(starts[w] if len(w) else n, n) + inner])
+        pairs = np.unique(np.repeat(spread(c.in_doc), n) * p.features + c.features[np.repeat(starts[c.held], n) + inner]) if len(n) else np.zeros(0, np.int64)
         out = np.zeros((p.features + 1, 1))
         out[: p.features, 0] = np.bincount(pairs % p.features, minlength=p.features)
-        out[p.features, 0] = b.n
+        out[p.features, 0] = c.n
         return out
 
-    df, n = _passes(docs, p, 1, step, by_word=False, extra=1)
+    df, n = _passes(chunks, p, 1, step, by_word=False, extra=1)
     return df[:, 0], float(n[0, 0])
 
 
-def _singular_vectors(docs: DataFrame, idf: np.ndarray, p: Parameters) -> np.ndarray:
+def _singular_vectors(chunks: DataFrame, idf: np.ndarray, p: Parameters) -> np.ndarray:
     """The leading right singular vectors of the weighted document-feature matrix with rows of length 1."""
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((p.features, p.rank)))[0]
     for _ in range(p.power_passes):
-        weighted = docs.sparkSession.sparkContext.broadcast((idf[:, None] * basis).astype(np.float32))
+        weighted = chunks.sparkSession.sparkContext.broadcast((idf[:, None] * basis).astype(np.float32))
 
-        def step(b: Batch, lexicon: Lexicon, weighted=weighted) -> np.ndarray:
-            emb = lexicon.embed(weighted.value)
-            d, w, tf = b.counts(len(lexicon.features))
-            vectors = unit(gathered(emb, w, d, b.n, tf))
-            _, _, counts = lexicon.spread()
-            return gathered(vectors, d, w, len(lexicon.features), tf) / np.maximum(counts, 1)[:, None]
+        def step(c: Chunk, weighted=weighted) -> np.ndarray:
+            owner = spread(c.in_doc)
+            vectors = unit(gathered(c.embedded(weighted.value), c.held, owner, c.n, c.tf))
+            order = np.argsort(c.held, kind="stable")
+            return gathered(vectors, owner[order], c.held[order], len(c.counts), c.tf[order]) / np.maximum(c.counts, 1)[:, None]
 
-        total, _ = _passes(docs, p, p.rank, step, by_word=True)
+        total, _ = _passes(chunks, p, p.rank, step, by_word=True)
         weighted.unpersist()
         basis = np.linalg.qr(idf[:, None] * total)[0]
     return basis[:, p.skipped :]
 
 
-def _seed_centroids(model: SubjectModel, seeds: list[tuple[list[str], list[int]]]) -> np.ndarray:
+def _seed_centroids(model: SubjectModel, seeds: Chunk, which: list[list[int]]) -> np.ndarray:
     """Centroids from the bounded sample of labelled documents: mean of a subject less the mean of all, by script."""
-    lexicon = Lexicon(model.p.features)
-    b = Batch.read(pa.array(range(len(seeds))), [s for s, _ in seeds], lexicon)
-    vectors, scripts = model.doc_vectors(b, lexicon, lexicon.embed(model.matrix)), b.scripts()
-    label = np.zeros((len(seeds), len(model.subjects)))
-    for i, (_, which) in enumerate(seeds):
-        label[i, which] = 1
+    vectors, scripts = model.doc_vectors(seeds, seeds.embedded(model.matrix)), seeds.scripts()
+    label = np.zeros((seeds.n, len(model.subjects)))
+    for i, own in enumerate(which):
+        label[i, own] = 1
     out = np.zeros((2, len(model.subjects), vectors.shape[1]))
     for c in range(len(model.subjects)):
         for s in (0, 1):
@@ -348,66 +362,70 @@ def _seed_centroids(model: SubjectModel, seeds: list[tuple[list[str], list[int]]
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, p: Parameters) -> SubjectModel:
-    """The model of a corpus. Only matrices of fixed size and the bounded seeds reach the driver."""
-    titles = sorted((r["subject"], r["title"] or "") for r in subjects.select("subject", "title").dropna(subset=["subject"]).distinct().limit(10_000).collect())
+def fit(documents: DataFrame, chunks: DataFrame, labels: DataFrame, subjects: DataFrame, p: Parameters) -> SubjectModel:
+    """The model of a corpus. Only matrices of fixed size, the subject table (one row per subject) and the bounded seeds
+    reach the driver.
+    """
+    titles = sorted((r["subject"], r["title"] or "") for r in subjects.select("subject", "title").dropna(subset=["subject"]).distinct().collect())
     names = sorted({s for s, _ in titles})
     model = SubjectModel(names, p)
     sample = labels.select("doc_id", F.trim("subject").alias("subject")).where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("s")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)
-    labelled = sample.join(docs, "doc_id").select("sentences", "s").collect()
-    seeds = [(r["sentences"], [names.index(x) for x in r["s"]]) for r in labelled]
-    seeds += [(sentences(f"{title} {title} {name}"), [names.index(name)]) for name, title in titles]
-    df, n = _document_frequency(docs, p)
+    texts = _sentences_of(documents.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"), "doc_id")
+    labelled = sorted(texts.join(sample, "doc_id").select("doc_id", "sentences", "s").collect(), key=lambda r: r["doc_id"])
+    which = [[names.index(x) for x in r["s"]] for r in labelled] + [[names.index(name)] for name, _ in titles]
+    seeds = Chunk.of([r["sentences"] for r in labelled] + [sentences(f"{title} {title} {name}") for name, title in titles], p.features)
+    df, n = _document_frequency(chunks, p)
     idf = np.where(df > 0, np.log((n + 1) / (df + 1)), 0.0)
-    vectors = _singular_vectors(docs, idf, p)
+    vectors = _singular_vectors(chunks, idf, p)
     topical, c = np.ones(p.features), len(names)
-    context = docs.sparkSession.sparkContext
+    context = chunks.sparkSession.sparkContext
     for _ in range(p.weight_rounds):
         model.matrix = ((topical * idf)[:, None] * vectors).astype(np.float32)
-        model.centroids = _seed_centroids(model, seeds)
+        model.centroids = _seed_centroids(model, seeds, which)
         shared = context.broadcast(model.parts())
 
-        def step(b: Batch, lexicon: Lexicon, shared=shared) -> np.ndarray:
+        def step(k: Chunk, shared=shared) -> np.ndarray:
             m = SubjectModel.of(shared.value)
-            post = m.posterior(m.doc_vectors(b, lexicon, lexicon.embed(m.matrix)), b.scripts())
-            d, w, _ = b.counts(len(lexicon.features))
-            return np.concatenate([gathered(post, d, w, len(lexicon.features)), post.sum(axis=0, keepdims=True)])
+            post = m.posterior(m.doc_vectors(k, k.embedded(m.matrix)), k.scripts())
+            order = np.argsort(k.held, kind="stable")
+            return np.concatenate([gathered(post, spread(k.in_doc)[order], k.held[order], len(k.counts)), post.sum(axis=0, keepdims=True)])
 
-        counts, corpus = _passes(docs, p, c, step, by_word=True, extra=1)
+        counts, corpus = _passes(chunks, p, c, step, by_word=True, extra=1)
         shared.unpersist()
         prior = np.maximum(corpus[0] / max(corpus[0].sum(), 1e-12), 1e-6)
         have = counts.sum(axis=1, keepdims=True)
         q = (counts + 20 * prior) / (have + 20)
         topical = np.maximum((q * np.log(q / prior)).sum(axis=1), 0.0)
     model.matrix = ((topical * idf)[:, None] * vectors).astype(np.float32)
-    model.centroids = _seed_centroids(model, seeds)
+    model.centroids = _seed_centroids(model, seeds, which)
     width = model.matrix.shape[1]
     for turn in range(p.sentence_rounds + 1):
         shared = context.broadcast(model.parts())
 
-        def step(b: Batch, lexicon: Lexicon, shared=shared, first=turn == 0) -> np.ndarray:
+        def step(k: Chunk, shared=shared, first=turn == 0) -> np.ndarray:
             m = SubjectModel.of(shared.value)
-            emb = lexicon.embed(m.matrix)
-            vectors, length, near = m.sentence_vectors(b, emb)
+            emb = k.embedded(m.matrix)
+            vectors, length, near = m.sentence_vectors(k, emb)
             out = np.zeros((p.features + 2 * c, width + 2))
             if not len(vectors):
                 return out
             if first:
-                weight = m.posterior(m.doc_vectors(b, lexicon, emb), b.scripts())[b.doc_of_sentence]
+                order = np.argsort(k.sentence, kind="stable")
+                weight = gathered(m.posterior(m.doc_vectors(k, emb), k.scripts()), k.doc[order], k.sentence[order], len(vectors))
             else:
                 weight = np.zeros_like(near)
                 best = near.argmax(axis=1)
                 on = (near.max(axis=1) > m.p.near) & (length > m.p.weak * m.length)
-                weight[np.flatnonzero(on), best[on]] = 1
+                weight[np.flatnonzero(on), best[on]] = np.bincount(k.sentence, minlength=len(vectors))[on]
             for s in (0, 1):
-                w = weight * (b.korean == s)[:, None]
+                w = weight * (k.korean == s)[:, None]
                 at = p.features + s * c
                 out[at : at + c, :width] = w.T @ vectors
                 out[at : at + c, width] = w.sum(axis=0)
                 out[at : at + c, width + 1] = w.T @ length
             return out
 
-        _, sums = _passes(docs, p, width + 2, step, by_word=False, extra=2 * c)
+        _, sums = _passes(chunks, p, width + 2, step, by_word=False, extra=2 * c)
         shared.unpersist()
         sums = sums.reshape(2, c, width + 2)
         known = sums[:, :, width] > 1e-9
@@ -420,56 +438,53 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, p: Parameters)
     return model
 
 
-def assign(docs: DataFrame, model: SubjectModel) -> DataFrame:
+def assign(chunks: DataFrame, model: SubjectModel) -> DataFrame:
     """doc_id, subject, share: the subjects of each document with the part of its sentences on each.
 
     Sentences with little weight go to the nearest subject the document treats anyway. A document in which no subject
-    reaches the share gets its largest; one without sentences gets none.
+    reaches the share gets its largest, as every text must have one; one without sentences gets none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
-    kind = dict(docs.dtypes)["doc_id"]
+    shared = chunks.sparkSession.sparkContext.broadcast(model.parts())
+    kind = dict(chunks.dtypes)["ids"][len("array<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = SubjectModel.of(shared.value)
-        c, lexicon = len(m.subjects), Lexicon(m.p.features)
-        for batch in chunks(batches):
-            b = Batch.read(batch.column(0), batch.column(1).to_pylist(), lexicon)
-            emb = lexicon.embed(m.matrix)
-            _, length, near = m.sentence_vectors(b, emb)
-            n = np.maximum(np.bincount(b.doc_of_sentence, minlength=b.n), 1)[:, None]
-            if not len(near) or not c:
+        c = len(m.subjects)
+        for ids, k in _read_chunks(batches):
+            if not len(k.doc) or not c:
                 continue
+            emb = k.embedded(m.matrix)
+            _, length, near = m.sentence_vectors(k, emb)
+            length, near = length[k.sentence], near[k.sentence]
+            n = np.maximum(np.bincount(k.doc, minlength=k.n), 1)[:, None]
             best, top = near.argmax(axis=1), near.max(axis=1)
             strong = (top > m.p.near) & (length > m.p.strong * m.length)
-            counts = np.zeros((b.n, c))
-            np.add.at(counts, (b.doc_of_sentence[strong], best[strong]), 1)
+            counts = np.zeros((k.n, c))
+            np.add.at(counts, (k.doc[strong], best[strong]), 1)
             weak = ~strong & (length > m.p.weak * m.length)
             has = counts > 0
-            open_near = np.where(has[b.doc_of_sentence], near, -1.0)
+            open_near = np.where(has[k.doc], near, -1.0)
             open_best, open_top = open_near.argmax(axis=1), open_near.max(axis=1)
             told = weak & (open_top > m.p.near / 2)
-            alone = weak & ~has.any(axis=1)[b.doc_of_sentence] & (top > m.p.near)
-            weak_counts = np.zeros((b.n, c))
-            np.add.at(weak_counts, (b.doc_of_sentence[told], open_best[told]), 1)
-            np.add.at(weak_counts, (b.doc_of_sentence[alone], best[alone]), 1)
+            alone = weak & ~has.any(axis=1)[k.doc] & (top > m.p.near)
+            weak_counts = np.zeros((k.n, c))
+            np.add.at(weak_counts, (k.doc[told], open_best[told]), 1)
+            np.add.at(weak_counts, (k.doc[alone], best[alone]), 1)
             share = (counts + weak_counts) / n
-            lacking = ~(share >= m.p.share).any(axis=1) & (np.bincount(b.doc_of_sentence, minlength=b.n) > 0)
+            chosen = share >= m.p.share
+            lacking = ~chosen.any(axis=1) & (np.bincount(k.doc, minlength=k.n) > 0)
             if lacking.any():
-                post = m.posterior(m.doc_vectors(b, lexicon, emb), b.scripts())
+                post = m.posterior(m.doc_vectors(k, emb), k.scripts())
                 first = np.where(share.any(axis=1), share.argmax(axis=1), post.argmax(axis=1))
-                chosen = share >= m.p.share
                 chosen[np.flatnonzero(lacking), first[lacking]] = True
-            else:
-                chosen = share >= m.p.share
             d, s = np.nonzero(chosen)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array([m.subjects[i] for i in s], pa.string()), pa.array(share[d, s], pa.float64())], names=["doc_id", "subject", "share"])
-            if lexicon.full():
-                lexicon.clear()
+            yield pa.RecordBatch.from_arrays([ids.values.take(pa.array(d)), pa.array([m.subjects[i] for i in s], pa.string()), pa.array(share[d, s], pa.float64())], names=["doc_id", "subject", "share"])
 
-    return docs.select("doc_id", "sentences").mapInArrow(run, f"doc_id {kind}, subject string, share double")
+    return chunks.select("ids", *CHUNK_ARRAYS).mapInArrow(run, f"doc_id {kind}, subject string, share double")
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p: Parameters | None = None) -> DataFrame:
-    """doc_id, subject, share for all documents."""
-    docs = sentence_table(documents)
-    return assign(docs, fit(docs, labels, subjects, p or Parameters()))
+    """doc_id, subject, share for all documents. Texts are cut and numbered once; all passes read the numbers."""
+    p = p or Parameters()
+    chunks = chunk_table(documents, p.features)
+    return assign(chunks, fit(documents, chunks, labels, subjects, p))
