@@ -43,7 +43,9 @@ class Parameters:
     near: float = 0.5
     strong: float = 0.25
     weak: float = 0.1
-    #: Part of a document's sentences that makes a subject of it.
+    #: Part of a document's sentences that makes a subject of it: midway between a passing mention (under a tenth) and a
+    #: subject (a fifth), as single sentences are assigned with errors. On the hand labels of sf0.1 a fifth itself finds
+    #: 94.4 % of the labels where this finds 95.4 %, with 95.0 and 94.7 % of the found labelled.
     share: float = 0.15
     #: Rows of a partial matrix in one message.
     block: int = 1024
