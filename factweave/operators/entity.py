@@ -117,15 +117,18 @@ def near_matches(mentions: DataFrame, mention: str, names: DataFrame, least_leng
 def by_identifiers(rows: DataFrame, key: str, schemes: Sequence[tuple[Sequence[str], DataFrame]]) -> DataFrame:
     """key, entity_id, status from several identifiers in order of trust.
 
-    A scheme is (columns, frame of those columns and entity_id). All that match must agree, else AMBIGUOUS.
+    A scheme is (columns, frame of those columns and entity_id). All that match must agree, else AMBIGUOUS. Each
+    identifier is brought to its least and greatest entity before the join, so a shared one multiplies no rows.
     """
     hits = None
-    for i, (columns, table) in enumerate(schemes):
-        part = rows.dropna(subset=list(columns)).join(table.select(*columns, "entity_id").distinct(), list(columns)).select(key, "entity_id", F.lit(i).alias("_p"))
+    for columns, table in schemes:
+        ends = table.dropna(subset=[*columns, "entity_id"]).groupBy(*columns).agg(F.min("entity_id").alias("_least"), F.max("entity_id").alias("_most"))
+        part = rows.dropna(subset=list(columns)).select(key, *columns).distinct().join(ends, list(columns)).select(key, "_least", "_most")
         hits = part if hits is None else hits.unionByName(part)
-    agreed = hits.groupBy(key).agg(F.count_distinct("entity_id").alias("n"), F.min(F.struct("_p", "entity_id"))["entity_id"].alias("_e"))
+    agreed = hits.groupBy(key).agg(F.min("_least").alias("_e"), F.max("_most").alias("_m"))
     joined = rows.select(key).distinct().join(agreed, key, "left")
-    return joined.select(key, F.when(F.col("n") == 1, F.col("_e")).alias("entity_id"), F.when(F.col("n") == 1, "RESOLVED").when(F.col("n") > 1, "AMBIGUOUS").otherwise("UNRESOLVED").alias("status"))
+    one = F.col("_e") == F.col("_m")
+    return joined.select(key, F.when(one, F.col("_e")).alias("entity_id"), F.when(one, "RESOLVED").when(F.col("_e").isNotNull(), "AMBIGUOUS").otherwise("UNRESOLVED").alias("status"))
 
 
 def name_key(name: Column) -> Column:
@@ -167,3 +170,25 @@ def compatible_kinds(mention: Column, name: Column, kinds: Sequence[str]) -> Col
     """Whether two organisation names end in the same kind, or one of them in none."""
     of = lambda c: F.coalesce(*[F.when(F.endswith(name_key(c), F.lit(k)), F.lit(k)) for k in sorted(kinds, key=len, reverse=True)])
     return F.coalesce(of(mention) == of(name), F.lit(True))
+
+
+def integrated_issuers(securities: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, conflicts) of securities (security_id, ticker, name) and companies (issuer_code, ticker, name).
+
+    A ticker of several issuers, and a security whose ticker and name tell different issuers, is a conflict; else the
+    ticker decides, then the name's key. Shared tickers and keys are reduced before the join.
+    """
+    def keyed(column: Column) -> DataFrame:
+        return companies.select(column.alias("_k"), "issuer_code").where("_k IS NOT NULL AND issuer_code IS NOT NULL").groupBy("_k").agg(F.min("issuer_code").alias("_least"), F.max("issuer_code").alias("_most"))
+
+    by_ticker, by_name = keyed(F.upper(F.trim("ticker"))), keyed(F.nullif(name_key(F.col("name")), F.lit("")))
+    rows = securities.select("security_id", F.upper(F.trim("ticker")).alias("_t"), F.nullif(name_key(F.col("name")), F.lit("")).alias("_n")).distinct()
+    rows = rows.join(by_ticker.select(F.col("_k").alias("_t"), F.col("_least").alias("_t_least"), F.col("_most").alias("_t_most")), "_t", "left")
+    rows = rows.join(by_name.select(F.col("_k").alias("_n"), F.col("_least").alias("_n_least"), F.col("_most").alias("_n_most")), "_n", "left")
+    ticker, name = F.when(F.col("_t_least") == F.col("_t_most"), F.col("_t_least")), F.when(F.col("_n_least") == F.col("_n_most"), F.col("_n_least"))
+    found = rows.groupBy("security_id").agg(F.bool_or(F.coalesce(F.col("_t_least") != F.col("_t_most"), F.lit(False))).alias("_shared"), F.min(ticker).alias("_a"), F.max(ticker).alias("_b"), F.min(name).alias("_c"), F.max(name).alias("_d"))
+    least, most = F.least("_a", "_c"), F.greatest("_b", "_d")
+    reason = F.when(F.col("_shared") & F.col("_a").isNull(), "SHARED_TICKER").when(least != most, "DIFFERENT_ISSUERS")
+    told = found.withColumn("reason", reason)
+    links = told.where("reason IS NULL").select("security_id", F.coalesce("_a", "_c").alias("issuer_code")).where("issuer_code IS NOT NULL")
+    return links, told.where("reason IS NOT NULL").select("security_id", "reason")

@@ -1,8 +1,8 @@
 """Structured predicates over a fact store, compiled to joins on distinct keys.
 
-Every leaf becomes a boolean column of the base entities (and a second one, "is anything known"), joined by equi-joins
-on distinct keys, so a nested AND/OR tree is one Column expression and OR needs no nested-loop join. Catalyst turns
-unneeded columns and joins away.
+What must hold in any case, the leaves of an AND, restricts the base: attributes first, by a filter that reaches the
+scan, then facts by semi and anti joins. A leaf under an OR becomes a boolean column of the base entities, joined by
+equi-joins on distinct keys, so a nested tree is one Column expression and OR needs no nested-loop join.
 """
 
 from __future__ import annotations
@@ -100,35 +100,86 @@ def _flags(base: DataFrame, entity: str, rows: DataFrame, column: Column, name:
     return base.join(keys, entity, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def leaf(base: DataFrame, entity: str, f: Filter, fields: Mapping[str, Field]) -> tuple[DataFrame, Column]:
-    """base with what the filter needs, and the filter's condition.
-
-    Negation depends on the kind: a classification or relation must be known and not match; flags are open-world, so
-    entities without a fact match; plain attributes and metrics follow SQL.
-    """
+def _checked(f: Filter, fields: Mapping[str, Field]) -> Field:
     spec = fields.get(f.field)
     if spec is None:
         raise RequestRefused(f"unknown field {f.field}")
     if f.op not in KIND_OPERATORS[spec.kind]:
         raise RequestRefused(f"{f.field} does not take {f.op}")
+    missing = [v for v in f.values if spec.kind == "vocabulary" and v not in spec.ranks]
+    if missing:
+        raise RequestRefused(f"{f.field} has no value {missing[0]}")
+    return spec
+
+
+def _matching(f: Filter, spec: Field) -> Column:
+    """What a fact's value must meet; for a negation of a class, relation or flag, what it must not."""
+    value = F.col("value")
+    if spec.kind == "vocabulary":
+        return compare(rank_of(value, spec.ranks), f.op, [spec.ranks[v] for v in f.values])
+    return value.isin(list(f.values)) if f.op == "ne" and spec.kind != "metric" else compare(value, f.op, f.values)
+
+
+def _known(spec: Field, entity: str) -> DataFrame:
+    """Entities of which something is known: of a class exactly one value, of a relation any."""
+    facts = spec.facts.where(F.col("value").isNotNull())
+    if spec.kind == "relation":
+        return facts.select(entity)
+    return facts.groupBy(entity).agg((F.min("value") == F.max("value")).alias("_one")).where("_one").select(entity)
+
+
+def _negated(f: Filter, spec: Field) -> bool:
+    return f.op == "ne" and spec.kind in ("classification", "relation", "flag")
+
+
+def required(base: DataFrame, entity: str, f: Filter, spec: Field) -> DataFrame:
+    """Rows of base that meet a filter on facts."""
+    matching = spec.facts.where(_matching(f, spec)).select(entity)
+    if not _negated(f, spec):
+        return base.join(matching, entity, "left_semi")
+    kept = base.join(matching, entity, "left_anti")
+    return kept if spec.kind == "flag" else kept.join(_known(spec, entity), entity, "left_semi")
+
+
+def leaf(base: DataFrame, entity: str, f: Filter, spec: Field) -> tuple[DataFrame, Column]:
+    """base with what the filter needs, and the filter's condition.
+
+    Negation depends on the kind: a classification or relation must be known and not match; flags are open-world, so
+    entities without a fact match; plain attributes and metrics follow SQL.
+    """
     if spec.kind == "attribute":
         return base, compare(F.col(spec.column), f.op, f.values)
     match, known = f"_m_{f.key}", f"_k_{f.key}"
-    value = F.col("value")
-    if spec.kind == "vocabulary":
-        missing = [v for v in f.values if v not in spec.ranks]
-        if missing:
-            raise RequestRefused(f"{f.field} has no value {missing[0]}")
-        return _flags(base, entity, spec.facts, compare(rank_of(value, spec.ranks), f.op, [spec.ranks[v] for v in f.values]), match), F.col(match)
-    if f.op == "ne" and spec.kind != "metric":
-        base = _flags(base, entity, spec.facts, value.isin(list(f.values)), match)
-        if spec.kind == "flag":
-            return base, ~F.col(match)
-        counts = spec.facts.where(value.isNotNull()).groupBy(entity).agg(F.count_distinct("value").alias("_n"))
-        only = F.col("_n") == 1 if spec.kind == "classification" else F.col("_n") >= 1
-        base = base.join(counts.where(only).select(entity).withColumn(known, F.lit(True)), entity, "left")
-        return base, ~F.col(match) & F.coalesce(F.col(known), F.lit(False))
-    return _flags(base, entity, spec.facts, compare(value, f.op, f.values), match), F.col(match)
+    base = _flags(base, entity, spec.facts, _matching(f, spec), match)
+    if not _negated(f, spec):
+        return base, F.col(match)
+    if spec.kind == "flag":
+        return base, ~F.col(match)
+    base = base.join(_known(spec, entity).distinct().withColumn(known, F.lit(True)), entity, "left")
+    return base, ~F.col(match) & F.coalesce(F.col(known), F.lit(False))
+
+
+def conjuncts(tree: Tree | str | None) -> list[Tree | str]:
+    """The parts of a tree that must all hold."""
+    if tree is None:
+        return []
+    if isinstance(tree, Tree) and tree.op == "and":
+        return [x for c in tree.children for x in conjuncts(c)]
+    return [tree]
+
+
+def _check_tree(node: Tree | str, known: Mapping[str, Filter], used: set[str], depth: int = 1) -> None:
+    if depth > MAX_DEPTH:
+        raise RequestRefused(f"a predicate tree is at most {MAX_DEPTH} deep")
+    if isinstance(node, str):
+        if node not in known or node in used:
+            raise RequestRefused(f"filter {node} is unknown or used twice")
+        used.add(node)
+        return
+    if not node.children:
+        raise RequestRefused("an empty AND or OR")
+    for c in node.children:
+        _check_tree(c, known, used, depth + 1)
 
 
 def select_entities(base: DataFrame, entity: str, filters: Sequence[Filter], fields: Mapping[str, Field], tree: Tree | str | None = None) -> DataFrame:
@@ -136,30 +187,34 @@ def select_entities(base: DataFrame, entity: str, filters: Sequence[Filter], fie
 
     A filter may stand in the tree once. Without filters all rows stay.
     """
-    conditions: dict[str, Column] = {}
-    columns = base.columns
+    by_key: dict[str, Filter] = {}
     for f in filters:
-        if f.key in conditions:
+        if f.key in by_key:
             raise RequestRefused(f"filter {f.key} is given twice")
-        base, conditions[f.key] = leaf(base, entity, f, fields)
+        by_key[f.key] = f
+    specs = {k: _checked(f, fields) for k, f in by_key.items()}
+    columns = base.columns
     used: set[str] = set()
-
-    def build(node: Tree | str, depth: int) -> Column:
-        if depth > MAX_DEPTH:
-            raise RequestRefused(f"a predicate tree is at most {MAX_DEPTH} deep")
+    if tree is not None:
+        _check_tree(tree, by_key, used)
+    parts = conjuncts(tree) + [k for k in by_key if k not in used]
+    alone = [p for p in parts if isinstance(p, str)]
+    for k in alone:
+        if specs[k].kind == "attribute":
+            base = base.where(compare(F.col(specs[k].column), by_key[k].op, by_key[k].values))
+    for k in alone:
+        if specs[k].kind != "attribute":
+            base = required(base, entity, by_key[k], specs[k])
+
+    def build(node: Tree | str) -> Column:
+        nonlocal base
         if isinstance(node, str):
-            if node not in conditions or node in used:
-                raise RequestRefused(f"filter {node} is unknown or used twice")
-            used.add(node)
-            return conditions[node]
-        parts = [build(c, depth + 1) for c in node.children]
-        if not parts:
-            raise RequestRefused("an empty AND or OR")
+            base, condition = leaf(base, entity, by_key[node], specs[node])
+            return condition
         fold: Callable = (lambda a, b: a & b) if node.op == "and" else (lambda a, b: a | b)
-        return reduce(fold, parts)
+        return reduce(fold, [build(c) for c in node.children])
 
-    wanted = [build(tree, 1)] if tree is not None else []
-    wanted += [c for k, c in conditions.items() if k not in used]
+    wanted = [build(p) for p in parts if not isinstance(p, str)]
     return base.where(reduce(lambda a, b: a & b, wanted)).select(*columns) if wanted else base
 
 

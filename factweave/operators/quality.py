@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,20 @@ def split_valid(df: DataFrame, reason: Column, name: str = "reason") -> tuple[Da
     return judged.where(F.col(name).isNull()).drop(name), judged.where(F.col(name).isNotNull())
 
 
+def reconciled(source: DataFrame, loaded: DataFrame, quarantined: DataFrame, group: str) -> DataFrame:
+    """group, source, loaded, quarantined rows and ``whole``: whether loaded and quarantined make up the source."""
+    count = lambda df, name: df.groupBy(group).agg(F.count(F.lit(1)).alias(name))
+    rows = count(source, "source").join(count(loaded, "loaded"), group, "full").join(count(quarantined, "quarantined"), group, "full")
+    of = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(group, of("source"), of("loaded"), of("quarantined")).withColumn("whole", F.col("source") == F.col("loaded") + F.col("quarantined"))
+
+
+def ingestion_report(rows: DataFrame, dataset: str, record: str, value: str, valid: Column, at: str) -> DataFrame:
+    """What was delivered by dataset: assertions, records, valid and blank ones, and the newest day."""
+    blank = cleaned(F.col(value)).isNull()
+    return rows.groupBy(dataset).agg(F.count(F.lit(1)).alias("assertions"), F.count_distinct(record).alias("records"), F.count_if(F.coalesce(valid, F.lit(False))).alias("valid"), F.count_if(blank).alias("blank"), F.to_date(F.max(at)).alias("newest"))
+
+
 def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """df with ``duplicate_no``: 1 for the first row of a key in source order, more for later ones."""
     return df.withColumn("duplicate_no", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
@@ -63,13 +78,16 @@ def last_write(df: DataFrame, key: Sequence[str], version: Sequence[str]) -> Dat
 def profile(df: DataFrame, scopes: Sequence[str], fields: Sequence[str], all_label: str = "__all__") -> DataFrame:
     """total, valid, missing, coverage, distinct values and constancy of each field in every scope and over all.
 
-    One cube over the scopes instead of a query per scope.
+    One set of groupings over the scopes instead of a query per scope. Rows are counted by value first, so the groupings
+    and their distinct counts meet each value of a scope once.
     """
     long = df.select(*scopes, *[cleaned(F.col(c).cast("string")).alias(c) for c in fields]).unpivot(list(scopes), list(fields), "field", "value")
-    counted = long.cube(*scopes, "field").agg(F.count(F.lit(1)).alias("total"), F.count("value").alias("valid"), F.count_distinct("value").alias("unique_values"), F.min("value").alias("_v"), F.grouping_id().alias("_g"), *[F.grouping(s).alias(f"_g_{s}") for s in scopes], F.grouping("field").alias("_gf"))
+    values = long.groupBy(*scopes, "field", "value").agg(F.count(F.lit(1)).alias("_n"))
+    sets = [[*chosen, "field"] for k in range(len(scopes) + 1) for chosen in combinations(scopes, k)]
+    counted = values.groupingSets([[F.col(c) for c in one] for one in sets], *scopes, "field").agg(F.sum("_n").alias("total"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("_n"))), F.lit(0)).alias("valid"), F.count_distinct("value").alias("unique_values"), F.min("value").alias("_v"), *[F.grouping(s).alias(f"_g_{s}") for s in scopes])
     named = [F.when(F.col(f"_g_{s}") == 1, all_label).otherwise(F.col(s)).alias(s) for s in scopes]
     constant = F.col("unique_values") == 1
-    return counted.where("_gf = 0").select(*named, "field", "total", "valid", (F.col("total") - F.col("valid")).alias("missing"), F.round(F.col("valid") / F.col("total"), 6).alias("coverage"), "unique_values", constant.alias("is_constant"), F.when(constant, F.col("_v")).alias("constant_value"))
+    return counted.select(*named, "field", "total", "valid", (F.col("total") - F.col("valid")).alias("missing"), F.round(F.col("valid") / F.col("total"), 6).alias("coverage"), "unique_values", constant.alias("is_constant"), F.when(constant, F.col("_v")).alias("constant_value"))
 
 
 def coverage(df: DataFrame, qualities: Mapping[str, Column]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.operators.predicates import RequestRefused, rank_of
+from factweave.session import checkpointed
 
 #: The greatest limit and the default ones.
 MAX_LIMIT, DEFAULT_LIMIT, DEFAULT_TOP = 10_000, 10, 5
@@ -70,7 +71,18 @@ def freshness(rows: DataFrame, group: str, on: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, group: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """Percentiles by nearest rank (the least value with at least that part at or below it), exact."""
-    rows = df.where(F.col(value).isNotNull())
-    exact = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)").alias(name) for name, q in quantiles.items()]
-    return rows.groupBy(*group).agg(*exact)
+    """Percentiles by nearest rank (the least value with at least that part at or below it), exact.
+
+    Equal values are counted first, then the counts are laid out by value over all tasks and each task's rows are
+    ranked from where the tasks before it end, so a group of any size is never sorted in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # written once: both readers below must see the same layout, also after a lost executor
+    laid = checkpointed(counts.repartitionByRange(*group, "_v").withColumn("_task", F.spark_partition_id()))
+    sums = laid.groupBy(*group, "_task").agg(F.sum("_n").alias("_sum"))
+    by_task = Window.partitionBy(*group).orderBy("_task")
+    before = sums.select(*group, "_task", (F.sum("_sum").over(by_task) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy(*group)).alias("_total"))
+    inner = F.sum("_n").over(Window.partitionBy(*group, "_task").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    keys = [F.col(f"l.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + [F.col("l._task") == F.col("b._task")]
+    ranked = laid.withColumn("_inner", inner).alias("l").join(before.alias("b"), keys).select(*[F.col(f"l.{g}").alias(g) for g in group], "_v", (F.col("_before") + F.col("_inner")).alias("_upto"), "_total")
+    return ranked.groupBy(*group).agg(*[F.min(F.when(F.col("_upto") >= F.ceil(F.lit(q) * F.col("_total")), F.col("_v"))).alias(name) for name, q in quantiles.items()])

@@ -3,7 +3,8 @@
 A finite-state tokenizer reads each Arrow batch as one stream of characters cut into equal chunks. Every chunk is
 run from all states at once, which gives its transition function; the functions are composed across chunks by a
 doubling scan, so each chunk learns its true entry state without waiting for the one before; a second run from that
-state marks every character. No step loops over rows, and a record may cross any number of chunks.
+state marks every character. No step over characters loops in Python, and a record may cross any number of chunks; fields
+are then cut out record by record. Every error has the offset of the character, or of the field, it is about.
 """
 
 from __future__ import annotations
@@ -85,7 +86,15 @@ def _unquoted(text: str) -> str:
 
 
 def tokenize(lines: Sequence[str | None], n_fields: int, delimiter: str = ",", chunk: int = CHUNK) -> list[tuple]:
-    """(fields or None, reason or None, offset or None) for every line; offsets count characters from 0."""
+    """(fields or None, reason or None, offset or None) for every line."""
+    return [x[:3] for x in cut_records(lines, n_fields, delimiter, chunk)]
+
+
+def cut_records(lines: Sequence[str | None], n_fields: int, delimiter: str = ",", chunk: int = CHUNK) -> list[tuple]:
+    """(fields or None, reason or None, offset or None, starts or None) for every line.
+
+    Offsets count characters from 0; starts are the offsets of the fields.
+    """
     texts = ["" if x is None else x.rstrip() for x in lines]
     codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -104,19 +113,19 @@ def tokenize(lines: Sequence[str | None], n_fields: int, delimiter: str = ",", c
     out: list[tuple] = []
     for i, text in enumerate(texts):
         if lines[i] is None:
-            out.append((None, "no_line", None))
+            out.append((None, "no_line", None, None))
         elif last[i] >= BARE_QUOTE:
             at = broken_at[np.searchsorted(broken_at, starts[i])]
-            out.append((None, STATE_REASON[int(last[i])], int(at - starts[i])))
+            out.append((None, STATE_REASON[int(last[i])], int(at - starts[i]), None))
         elif last[i] == QUOTED:
             at = opened_at[np.searchsorted(opened_at, ends[i]) - 1]
-            out.append((None, STATE_REASON[QUOTED], int(at - starts[i])))
+            out.append((None, STATE_REASON[QUOTED], int(at - starts[i]), None))
         elif past[i] - first[i] + 1 != n_fields:
             extra = cuts[first[i] + n_fields - 1] - starts[i] if past[i] - first[i] >= n_fields else lengths[i]
-            out.append((None, "field_count", int(extra)))
+            out.append((None, "field_count", int(extra), None))
         else:
             at = [-1, *(cuts[first[i] : past[i]] - starts[i]).tolist(), len(text)]
-            out.append(([_unquoted(text[a + 1 : b]) for a, b in zip(at, at[1:])], None, None))
+            out.append(([_unquoted(text[a + 1 : b]) for a, b in zip(at, at[1:])], None, None, [a + 1 for a in at[:-1]]))
     return out
 
 
@@ -130,21 +139,21 @@ class Field:
 
 
 def split_records(df: DataFrame, line: str, fields: Sequence[str], delimiter: str = ",") -> DataFrame:
-    """df with ``_fields`` (array, NULL if the layout is broken), ``_reason`` and ``_offset``.
+    """df with ``_fields`` (array, NULL if the layout is broken), ``_reason``, ``_offset`` and ``_starts`` of the fields.
 
     Null lines give ``no_line``, empty lines ``field_count``; an empty table an empty result. Other columns pass
-    unchanged; columns that already bear one of the three names are left out.
+    unchanged; columns that already bear one of the four names are left out.
     """
     n = len(fields)
-    df = df.drop(*[c for c in df.columns if c.lower() in ("_fields", "_reason", "_offset")])
-    schema = df.select("*", F.lit(None).cast("array<string>").alias("_fields"), F.lit(None).cast("string").alias("_reason"), F.lit(None).cast("int").alias("_offset")).schema
+    df = df.drop(*[c for c in df.columns if c.lower() in ("_fields", "_reason", "_offset", "_starts")])
+    schema = df.select("*", F.lit(None).cast("array<string>").alias("_fields"), F.lit(None).cast("string").alias("_reason"), F.lit(None).cast("int").alias("_offset"), F.lit(None).cast("array<int>").alias("_starts")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = tokenize(batch.column(batch.schema.get_field_index(line)).to_pylist(), n, delimiter)
-            parts = list(zip(*got)) or [(), (), ()]
-            arrays = [pa.array(parts[0], pa.list_(pa.string())), pa.array(parts[1], pa.string()), pa.array(parts[2], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "_fields", "_reason", "_offset"])
+            got = cut_records(batch.column(batch.schema.get_field_index(line)).to_pylist(), n, delimiter)
+            parts = list(zip(*got)) or [(), (), (), ()]
+            arrays = [pa.array(parts[0], pa.list_(pa.string())), pa.array(parts[1], pa.string()), pa.array(parts[2], pa.int32()), pa.array(parts[3], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "_fields", "_reason", "_offset", "_starts"])
 
     return df.mapInArrow(run, schema)
 
@@ -172,13 +181,15 @@ def holding_fields() -> list[Field]:
 
 
 def checked_records(df: DataFrame, line: str, fields: Sequence[Field]) -> DataFrame:
-    """split_records, with the rules of the fields applied: the first rule broken gives ``invalid_<name>``."""
+    """split_records, with the rules of the fields applied: the first rule broken gives ``invalid_<name>`` at its field."""
     rows = split_records(df, line, [f.name for f in fields])
-    reason = F.col("_reason")
+    reason, offset = F.col("_reason"), F.col("_offset")
     for i, field in enumerate(fields):
         if field.ok is not None:
-            reason = F.coalesce(reason, F.when(F.col("_fields").isNotNull() & ~F.coalesce(field.ok, F.lit(False)), F.lit(f"invalid_{field.name}")))
-    return rows.withColumn("_reason", reason)
+            broken = F.col("_fields").isNotNull() & ~F.coalesce(field.ok, F.lit(False))
+            reason = F.coalesce(reason, F.when(broken, F.lit(f"invalid_{field.name}")))
+            offset = F.coalesce(offset, F.when(broken, F.col("_starts")[i]))
+    return rows.withColumns({"_reason": reason, "_offset": offset})
 
 
 def typed_rows(checked: DataFrame, fields: Sequence[Field], keep: Sequence[str]) -> DataFrame:
@@ -189,5 +200,5 @@ def typed_rows(checked: DataFrame, fields: Sequence[Field], keep: Sequence[str])
 
 
 def rejected_rows(checked: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Every other record with the reason and, where the layout broke, the offset."""
+    """Every other record with the reason and the offset of the character or field it is about."""
     return checked.where(F.col("_reason").isNotNull()).select(*keep, F.col("_reason").alias("reason"), F.col("_offset").alias("error_offset"))

@@ -74,19 +74,23 @@ def scaled(currency_day: str, scale: str) -> str:
 def product_units(rates: Iterable[Mapping]) -> UnitGraph:
     """Amounts (KRW), rates (PERCENT) and counts (SHARE); currencies per day of their rate.
 
-    A rate is a mapping with currency, rate_date, quoted_units and krw_amount; rates with a NULL are left out.
+    A rate is a mapping with currency, rate_date, quoted_units and krw_amount; rates with a NULL are left out. Every
+    distinct rate is an edge, so two that contradict each other on a day make a cycle that ``compositions`` refuses.
     """
     graph = UnitGraph()
     for name, factor in RATES.items():
         if name != "PERCENT":
             graph.add(name, "PERCENT", factor)
     bases = {"KRW": None, "SHARE": None}
+    seen = set()
     for r in rates:
         if None in (r["currency"], r["rate_date"], r["quoted_units"], r["krw_amount"]):
             continue
         base = f"{r['currency'].strip().upper()}@{r['rate_date']}"
-        if base not in bases:
-            graph.add(base, "KRW", Fraction(str(r["krw_amount"])) / Fraction(r["quoted_units"]))
+        factor = Fraction(str(r["krw_amount"])) / Fraction(r["quoted_units"])
+        if (base, factor) not in seen:
+            graph.add(base, "KRW", factor)
+        seen.add((base, factor))
         bases[base] = None
     for base in bases:
         for scale, factor in SCALES.items():

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from enum import StrEnum
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from factweave.operators.predicates import RequestRefused
 
@@ -65,30 +66,48 @@ def layers(steps: list[Step]) -> list[list[Step]]:
     return out
 
 
-def execute(steps: list[Step], timeout: float | None = 10.0) -> Execution:
+def execute(steps: list[Step], timeout: float | None = 10.0, spark: SparkSession | None = None) -> Execution:
     """Run all steps, a layer's side by side; a step whose need did not succeed is skipped.
 
-    Steps mostly compose lazy frames; one that runs jobs longer than the timeout is given up.
+    Steps mostly compose lazy frames. A layer has ``timeout`` seconds from its start; a step that runs longer is given
+    up at that moment: the wait ends, and if the session is given, the Spark jobs of its thread are cancelled.
     """
     out = Execution()
     for layer in layers(steps):
-        with ThreadPoolExecutor(max_workers=max(1, len(layer))) as pool:
-            running = {}
-            for s in layer:
-                if any(out.results[n].status is not Status.SUCCESS for n in s.needs):
-                    out.results[s.name] = StepResult(None, False, status=Status.SKIPPED, detail="a need did not succeed")
-                else:
-                    running[s.name] = pool.submit(s.run, {n: out.results[n] for n in s.needs})
-            for name, future in running.items():
-                try:
-                    out.results[name] = future.result(timeout)
-                except TimeoutError:
-                    out.results[name] = StepResult(None, False, status=Status.TIMED_OUT)
-                except StepFailed as e:
-                    out.results[name] = StepResult(None, False, status=Status.FAILED, detail=str(e))
+        pool = ThreadPoolExecutor(max_workers=max(1, len(layer)))
+        running, tags = {}, {}
+        for s in layer:
+            if any(out.results[n].status is not Status.SUCCESS for n in s.needs):
+                out.results[s.name] = StepResult(None, False, status=Status.SKIPPED, detail="a need did not succeed")
+            else:
+                tags[s.name] = f"step-{uuid4().hex}"
+                running[s.name] = pool.submit(_tagged, spark, tags[s.name], s.run, {n: out.results[n] for n in s.needs})
+        wait(running.values(), timeout)
+        for name, future in running.items():
+            if not future.done():
+                future.cancel()
+                if spark is not None:
+                    spark.sparkContext.cancelJobsWithTag(tags[name])
+                out.results[name] = StepResult(None, False, status=Status.TIMED_OUT)
+                continue
+            try:
+                out.results[name] = future.result()
+            except StepFailed as e:
+                out.results[name] = StepResult(None, False, status=Status.FAILED, detail=str(e))
+        pool.shutdown(wait=False)
     return out
 
 
+def _tagged(spark: SparkSession | None, tag: str, run: Callable, needs: Mapping[str, StepResult]) -> StepResult:
+    if spark is None:
+        return run(needs)
+    spark.sparkContext.addJobTag(tag)
+    try:
+        return run(needs)
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
 def final_names(steps: list[Step], execution: Execution) -> list[str]:
     """Successful steps that no successful step builds on."""
     good = {n for n, r in execution.results.items() if r.status is Status.SUCCESS}

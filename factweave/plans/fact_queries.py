@@ -52,12 +52,12 @@ def _regions(s: SparkSession, d: str) -> DataFrame:
     """(p_partkey, value): regions of a part's suppliers."""
     nations = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     suppliers = table(s, d, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
-    return _part_suppliers(s, d).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("p_partkey"), F.col("r_name").alias("value")).distinct()
+    return table(s, d, "lineitem").select("l_partkey", "l_suppkey").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("p_partkey"), F.col("r_name").alias("value"))
 
 
 def _flags(s: SparkSession, d: str) -> DataFrame:
     """(p_partkey, value): a part that was ever returned; parts without the fact are unknown."""
-    returned = table(s, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    returned = table(s, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     return returned.withColumn("value", F.lit("returned"))
 
 
@@ -75,9 +75,9 @@ def _catalog(s: SparkSession, d: str) -> Catalog:
         "size": Field("attribute", "p_size"),
         "brand": Field("attribute", "p_brand"),
         "region": Field("classification", facts=_regions(s, d)),
-        "supplier": Field("relation", facts=_part_suppliers(s, d).select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("value"))),
+        "supplier": Field("relation", facts=line.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("value"))),
         "returned": Field("flag", facts=_flags(s, d)),
-        "priority": Field("vocabulary", facts=line.join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("p_partkey"), F.col("o_orderpriority").alias("value")).distinct(), ranks=PRIORITIES),
+        "priority": Field("vocabulary", facts=line.join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("p_partkey"), F.col("o_orderpriority").alias("value")), ranks=PRIORITIES),
         "price": Field("metric", facts=_prices(s, d).withColumnRenamed("price", "value")),
     }
     metrics = line.where(F.col("l_shipdate") <= F.lit(AS_OF).cast("timestamp_ntz")).select(F.col("l_partkey").alias("entity_id"), F.lit("price").alias("metric"), F.col("l_linestatus").alias("dataset"), F.lit("CURRENCY_AMOUNT").alias("unit"), F.lit(None).cast("string").alias("scale"), F.lit("USD").alias("currency"), (F.col("l_returnflag") != "R").alias("comparable"), F.col("l_shipdate").alias("observed_on"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity").alias("fact_id"), F.col("l_extendedprice").alias("value"))
@@ -299,16 +299,18 @@ def project_relation_names(s, d):
     return projection.relation_names(relations, "p_partkey", "l_suppkey", table(s, d, "supplier"), "s_suppkey", "s_name", "suppliers")
 
 
-@query("SELECT canonical_product_id, string_agg(DISTINCT source_dataset, '|' ORDER BY source_dataset) AS datasets, string_agg(DISTINCT source_record_id, '|' ORDER BY source_record_id) AS records FROM source_field_assertions WHERE canonical_product_id NOT LIKE '%HOT%' GROUP BY 1")
+_PROVENANCE_SQL = "SELECT DISTINCT canonical_product_id, 'dataset' AS kind, source_dataset AS member FROM source_field_assertions WHERE source_dataset IS NOT NULL UNION ALL SELECT DISTINCT canonical_product_id, 'record', source_record_id FROM source_field_assertions WHERE source_record_id IS NOT NULL"
+
+
+@query(_PROVENANCE_SQL)
 def provenance_sets(s, d):
-    rows = table(s, d, "source_field_assertions").where("canonical_product_id NOT LIKE '%HOT%'")
-    return projection.provenance(rows, "canonical_product_id", {"datasets": "source_dataset", "records": "source_record_id"})
+    """Every product's datasets and records, a row for each."""
+    return projection.provenance(table(s, d, "source_field_assertions"), "canonical_product_id", {"dataset": "source_dataset", "record": "source_record_id"})
 
 
-@query("SELECT canonical_product_id, string_agg(DISTINCT source_dataset, '|' ORDER BY source_dataset) AS datasets, string_agg(DISTINCT source_record_id, '|' ORDER BY source_record_id) AS records FROM source_field_assertions GROUP BY 1")
-def provenance_sets_all(s, d):
-    """Of every product, the hot ones too."""
-    return projection.provenance(table(s, d, "source_field_assertions"), "canonical_product_id", {"datasets": "source_dataset", "records": "source_record_id"})
+@query(f"SELECT canonical_product_id, count(*) FILTER (WHERE kind = 'dataset') AS datasets, count(*) FILTER (WHERE kind = 'record') AS records FROM ({_PROVENANCE_SQL}) GROUP BY 1")
+def provenance_counts(s, d):
+    return projection.provenance_counts(provenance_sets(s, d), "canonical_product_id", {"datasets": "dataset", "records": "record"})
 
 
 @query("UNPIVOT (SELECT p_partkey, CAST(p_name AS VARCHAR) AS p_name, CAST(p_type AS VARCHAR) AS p_type, CAST(p_size AS VARCHAR) AS p_size FROM part) ON p_name, p_type, p_size INTO NAME field VALUE value")
@@ -321,15 +323,8 @@ def melt_assertions(s, d):
     return projection.melt_filled(table(s, d, "canonical_products"), ["source_record_key", "dataset_snapshot"], ["ticker", "isin", "currency"], ["isin"]).drop("dataset_snapshot")
 
 
-@query("SELECT a.assertion_id, a.source_record_id, r.quality_status AS record_quality FROM source_field_assertions a LEFT JOIN (SELECT DISTINCT source_record_id, quality_status FROM source_records) r ON a.source_record_id = r.source_record_id WHERE a.source_column = 'pd_nm'")
-def field_evidence(s, d):
-    records = table(s, d, "source_records").select("source_record_id", F.col("quality_status").alias("record_quality")).distinct()
-    asserted = table(s, d, "source_field_assertions").where("source_column = 'pd_nm'").select("assertion_id", "source_record_id")
-    return asserted.join(records, "source_record_id", "left")
-
-
 @query("WITH o AS (SELECT DISTINCT source_record_id, quality_status AS record_quality, lower(trim(e.key)) AS source_column, e.value ->> '$' AS observed FROM source_records, json_each(CASE WHEN json_valid(raw_payload) THEN raw_payload END) e) SELECT a.assertion_id, a.source_record_id, lower(trim(a.source_column)) AS source_column, o.record_quality, o.observed FROM source_field_assertions a LEFT JOIN o ON a.source_record_id = o.source_record_id AND lower(trim(a.source_column)) = o.source_column")
-def field_evidence_all(s, d):
+def field_evidence(s, d):
     """Of every column: what the record's payload holds there."""
     column = F.lower(F.trim("source_column")).alias("source_column")
     cells = table(s, d, "source_records").select("source_record_id", F.col("quality_status").alias("record_quality"), F.explode(F.from_json("raw_payload", "map<string,string>")).alias("source_column", "observed"))
@@ -449,7 +444,7 @@ def _bm25_sql(terms: list[str], where: str) -> str:
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0)::DOUBLE AS df{i}" for i in range(len(terms)))
     score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i}::DOUBLE * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * l / avgl))" for i in range(len(terms)))
-    return f"WITH t AS (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents WHERE {where}), c AS (SELECT doc_id, len(t) AS l, {tf} FROM t), s AS (SELECT count(*)::DOUBLE AS n, avg(l) AS avgl, {df} FROM c) SELECT doc_id, round({score}, 6) AS score FROM c, s WHERE round({score}, 6) > 0 ORDER BY score DESC, doc_id LIMIT 20"
+    return f"WITH t AS (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents WHERE {where}), c AS (SELECT doc_id, len(t) AS l, {tf} FROM t), s AS (SELECT count(*)::DOUBLE AS n, avg(l) AS avgl, {df} FROM c) SELECT doc_id, round(exact, 6) AS score FROM (SELECT doc_id, {score} AS exact FROM c, s) WHERE exact > 0 ORDER BY exact DESC, doc_id LIMIT 20"
 
 
 @query(_bm25_sql(["refund", "claim", "dividend"], "true"))
@@ -477,12 +472,12 @@ def token_stats(s, d):
 _QUERY_VECTOR = [0.125] * 64
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.125)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+@query("SELECT vec_id, round(exact, 6) AS score FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.125)) AS exact FROM embeddings) ORDER BY exact DESC, vec_id LIMIT 10")
 def cosine_topk(s, d):
     return text.cosine(table(s, d, "embeddings"), "vec_id", "embedding", _QUERY_VECTOR, 10)
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.125)), 6) AS score FROM embeddings WHERE label IN (1, 2) ORDER BY score DESC, vec_id LIMIT 10")
+@query("SELECT vec_id, round(exact, 6) AS score FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.125)) AS exact FROM embeddings WHERE label IN (1, 2)) ORDER BY exact DESC, vec_id LIMIT 10")
 def cosine_candidates(s, d):
     return text.cosine(table(s, d, "embeddings").where("label IN (1, 2)"), "vec_id", "embedding", _QUERY_VECTOR, 10)
 
@@ -543,10 +538,10 @@ def graph_edges_merged(s, d):
     return graph.merged_edges(rows, "status")
 
 
-@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+@query("SELECT s_suppkey, s_nationkey AS class, count(*) OVER (PARTITION BY s_nationkey) - 1 AS links FROM supplier")
 def self_join_same_object(s, d):
-    a, b = [table(s, d, "supplier").select(F.col("s_suppkey").alias(x), "s_nationkey") for x in "ab"]
-    return a.join(b, "s_nationkey").where("a < b").select("a", "b")
+    """Suppliers by the nation they share, with the number of others there: the pairs' classes, not the pairs."""
+    return graph.same_object(table(s, d, "supplier"), "s_suppkey", "s_nationkey")
 
 
 _NAME = "lower(regexp_replace(trim({}), '\\s+', '', 'g'))"
@@ -607,7 +602,7 @@ def merge_intersection(s, d):
     return merge.intersected([line.where("l_suppkey = 3"), table(s, d, "part").where("p_size > 20"), line.where("l_returnflag = 'A'")], "p_partkey")
 
 
-@query("SELECT p_partkey, rank FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part ORDER BY rank LIMIT 500) WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY rank LIMIT 50")
+@query("SELECT p_partkey, rank FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY rank LIMIT 50")
 def merge_ranked(s, d):
     """The limit comes after the intersection; only the chosen parts' places among all parts are counted."""
     place = F.struct(F.col("p_retailprice").isNull().alias("none"), (-F.col("p_retailprice")).alias("less"), F.col("p_partkey").alias("key"))

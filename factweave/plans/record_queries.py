@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factweave.operators import raw_records, snapshot_diff, units, wide
 from factweave.session import table
 
-#: Fixed layout of the four datasets' wide tables (columns and types as source_column_types declares them).
+#: Fixed layout for the SQL, which can't read it: what source_column_types declares today. The queries read the table.
 WIDE_LAYOUT = {
     "PRBD01N001": "pd_no text, pd_nm text, pd_abrv_nm text, pd_pbcm text, isu_dt date, mat_dt date, isu_bal_amt numeric, pd_risk_gcd integer, bd_knd text, curr_cd text, pd_exg_mkt text, info_base_dt date, info_seq integer, eval_price numeric, buy_yield numeric, buyable_quantity integer, crd_grd text, crd_grd_dt date, sale_yn flag",
     "PREF01N001": "pd_itm_no text, pd_isin_cd text, pd_ticker text, pd_nm text, pd_abrv_nm text, cu_fund_mgmt_co text, cu_base_index text, wu_inv_ast_type text, wu_inv_rgn text, pd_curr_cd text, du_last_aum numeric, cu_charge_rt numeric, du_last_nav numeric, du_clpr numeric, du_upt_dt date, du_er_1m numeric, du_er_1y numeric, pd_sale_yn flag, pd_tr_yn flag, pd_lstg_dt date, ru_mkt_volume integer",
@@ -54,7 +54,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _p2_wide(dataset: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return wide.wide(_cells(spark, d).where(F.col("source_dataset") == dataset), ["source_record_id"], layout(dataset))
+        columns = wide.declared_columns(table(spark, d, "source_column_types"), dataset)
+        return wide.wide(_cells(spark, d).where(F.col("source_dataset") == dataset), ["source_record_id"], columns)
 
     run.__doc__ = f"Wide typed rows of {dataset}, one per source record."
     return run
@@ -210,6 +211,7 @@ def _p7_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "p7_found": _p7_sql(),
+        "p7_values": f"WITH {_p7_values_sql()} SELECT fact_id, metric_code, subject_entity_id, observed_on, number, CASE kind WHEN 'CURRENCY_AMOUNT' THEN CASE WHEN cur = 'KRW' THEN 'KRW' ELSE cur || '@' || observed_on END || ':' || scale WHEN 'COUNT' THEN 'SHARE:' || scale WHEN 'RATE' THEN rate END AS source_unit, CASE kind WHEN 'CURRENCY_AMOUNT' THEN 'KRW' WHEN 'COUNT' THEN 'SHARE' WHEN 'RATE' THEN 'PERCENT' END AS canonical_unit, common_value FROM x",
         "p1_found": _p1_sql("line_id", "NOT valid OR valid IS NULL"),
         "p1_holdings": _p1_sql(_P1_HOLDINGS, "valid"),
         "p2_found": f"{_CELLS_SQL} SELECT source_record_id, source_column FROM f GROUP BY ALL HAVING NOT bool_or(fits)",

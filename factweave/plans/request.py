@@ -175,3 +175,29 @@ def run(request: Request, catalog: Catalog, candidates: DataFrame | None = None)
         elif spec is not None and spec.kind == "attribute" and spec.column != n:
             rows = rows.withColumn(n, F.col(spec.column))
     return Answer(rows.select(*dict.fromkeys([key, *[n for n in names if n in rows.columns]])), stats, notes)
+
+
+def local_tree(tree: Tree | str | None, local: Sequence[str], known: Sequence[str]) -> Tree | str | None:
+    """The part of a tree that one store can answer: an AND may lose leaves of other stores, an OR may not."""
+    if tree is None or isinstance(tree, str):
+        if tree is not None and tree not in known:
+            raise RequestRefused(f"filter {tree} is unknown")
+        return tree if tree in local else None
+    parts = [local_tree(c, local, known) for c in tree.children]
+    kept = tuple(p for p in parts if p is not None)
+    if tree.op == "or" and len(kept) < len(parts):
+        raise RequestRefused("an OR can't be split over stores")
+    return None if not kept else kept[0] if len(kept) == 1 else Tree(tree.op, kept)
+
+
+def without_filters(tree: Tree | str | None, removed: Sequence[str]) -> Tree | str | None:
+    """A tree without filters that hold for a group anyway; they can be taken from an AND only."""
+    if tree is None or isinstance(tree, str):
+        return None if tree in removed else tree
+    if tree.op == "or":
+        inside = lambda n: n in removed if isinstance(n, str) else any(inside(c) for c in n.children)
+        if inside(tree):
+            raise RequestRefused("a filter can't be taken out of an OR")
+        return tree
+    kept = tuple(p for p in (without_filters(c, removed) for c in tree.children) if p is not None)
+    return None if not kept else kept[0] if len(kept) == 1 else Tree("and", kept)

@@ -36,10 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder named by the session.
 
-    Only a session without ``spark.checkpoint.dir`` (tests, laptops) gets a temporary folder.
+    Only a local session without ``spark.checkpoint.dir`` (tests, laptops) gets a temporary folder; on a cluster that
+    setting is missing, and executors could not read each other's files.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get(CHECKPOINT_CONF, None) or tempfile.mkdtemp(prefix="factweave-"))
+        folder = spark.conf.get(CHECKPOINT_CONF, None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factweave-"))
     return df.checkpoint(eager=eager)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from factweave.operators.quality import last_write
 
@@ -22,17 +21,32 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: Sequence[s
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = last_write(batch, key, version).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-        try:
+        if _exists(spark, path):
             old = current(spark.read.parquet(path).where(F.col("_generation") < batch_id), keep_bucket=True)
-            touched = new.select("_bucket").distinct()
-            new = last_write(old.join(F.broadcast(touched), "_bucket", "left_semi").unionByName(new), key, version)
-        except AnalysisException:
-            pass  # the first batch
+            touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            new = last_write(old.where(F.col("_bucket").isin(touched)).unionByName(new), key, version)
         new.withColumn("_generation", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_generation", "_bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a generation was written; every other failure to read must stop the stream, or old rows would be lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(folder) and any(not f.getPath().getName().startswith(("_temporary", ".", "_SUCCESS")) for f in fs.listStatus(folder))
+
+
+def vacuum(spark: SparkSession, path: str, keep_after: int) -> None:
+    """Rewrite nothing, drop generations that newer ones of their bucket replace and that are older than ``keep_after``."""
+    table = spark.read.parquet(path)
+    newest = table.groupBy("_bucket").agg(F.max("_generation").alias("_newest"))
+    old = table.select("_bucket", "_generation").distinct().join(F.broadcast(newest), "_bucket").where((F.col("_generation") < F.col("_newest")) & (F.col("_generation") < keep_after))
+    for r in old.collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_generation={r['_generation']}/_bucket={r['_bucket']}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def current(table: DataFrame, keep_bucket: bool = False) -> DataFrame:
     """The rows of the newest generation of each bucket."""
     newest = table.groupBy("_bucket").agg(F.max("_generation").alias("_generation"))

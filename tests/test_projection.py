@@ -11,8 +11,10 @@ def hot(spark, tmp_path):
 
 
 def test_provenance_keeps_hot_products(spark, hot):
-    got = {r[0]: (r[1], r[2]) for r in fact_queries.queries()["provenance_sets_all"](spark, hot).collect()}
-    assert got == {"bond_kr:HOT1": ("a|b", "r0|r1|r2"), "x": (None, None), None: ("a", "r9")}
+    got = sorted(map(tuple, fact_queries.queries()["provenance_sets"](spark, hot).collect()), key=str)
+    assert got == sorted([("bond_kr:HOT1", "dataset", x) for x in "ab"] + [("bond_kr:HOT1", "record", f"r{i}") for i in range(3)] + [(None, "dataset", "a"), (None, "record", "r9")], key=str)
+    counts = {r[0]: (r[1], r[2]) for r in fact_queries.queries()["provenance_counts"](spark, hot).collect()}
+    assert counts == {"bond_kr:HOT1": (2, 3), None: (1, 1)}
 
 
 def test_field_evidence_covers_all_columns_and_spellings(spark, tmp_path):
@@ -20,7 +22,7 @@ def test_field_evidence_covers_all_columns_and_spellings(spark, tmp_path):
     spark.createDataFrame(asserted, "assertion_id string, source_record_id string, source_column string").write.parquet(f"{tmp_path}/source_field_assertions.parquet")
     records = [("r1", "OK", '{"pd_nm": "x", "CURR_CD ": 3}'), ("r1", "OK", '{"pd_nm": "x", "CURR_CD ": 3}'), ("r2", "OK", "no json")]
     spark.createDataFrame(records, "source_record_id string, quality_status string, raw_payload string").write.parquet(f"{tmp_path}/source_records.parquet")
-    got = sorted(tuple(r) for r in fact_queries.queries()["field_evidence_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in fact_queries.queries()["field_evidence"](spark, str(tmp_path)).collect())
     assert got == [("a1", "r1", "pd_nm", "OK", "x"), ("a2", "r1", "curr_cd", "OK", "3"), ("a3", "r2", "pd_nm", None, None), ("a4", None, "pd_nm", None, None)]
 
 

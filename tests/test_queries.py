@@ -3,10 +3,10 @@
 import pytest
 
 from compare import compare, database
-from factweave.plans import fact_queries, record_queries
+from factweave.plans import fact_queries, record_queries, store_queries
 
-SQL = {**fact_queries.oracle_sql(), **record_queries.oracle_sql()}
-QUERIES = {**fact_queries.queries(), **record_queries.queries()}
+SQL = {**fact_queries.oracle_sql(), **record_queries.oracle_sql(), **store_queries.oracle_sql()}
+QUERIES = {**fact_queries.queries(), **record_queries.queries(), **store_queries.queries()}
 
 
 @pytest.fixture(scope="module")

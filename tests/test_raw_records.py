@@ -3,6 +3,7 @@ import io
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factweave.operators import raw_records as rr
 
@@ -95,3 +96,11 @@ def test_empty_table_and_clashing_names(spark):
     checked = rr.checked_records(df, "raw_line", rr.holding_fields())
     assert rr.typed_rows(checked, rr.holding_fields(), ["line_id", "ratio"]).count() == 0
     assert rr.rejected_rows(checked, ["line_id", "ratio"]).count() == 0
+
+
+def test_value_errors_tell_their_field(spark):
+    lines = ['20260101,f,1,"a, b",i,1,1,1,5,2,t', '2026-01-01,f,1,n,i,1,1,1,5,2,t', '20260101,f,1,"a, b",i,1,1,1,-5,2,t', '20260101,f,1,n,i,1,1,1,"1,000",101,t', None]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id int, raw_line string").withColumn("_starts", F.lit(1))
+    checked = rr.checked_records(df, "raw_line", rr.holding_fields())
+    got = {r["line_id"]: (r["reason"], r["error_offset"]) for r in rr.rejected_rows(checked, ["line_id"]).collect()}
+    assert got == {1: ("invalid_gijunYMD", 0), 2: ("invalid_evalA", lines[2].index("-5")), 3: ("invalid_ratio", lines[3].rindex("101")), 4: ("no_line", None)}
