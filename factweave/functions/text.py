@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 TOKEN = r"[a-z0-9]+(?:[.&+\-][a-z0-9]+)*|[가-힣]+"
 #: Fixed values of the hash embedding.
 DIMENSIONS, TOKEN_WEIGHT, PAIR_WEIGHT, CONCEPT_WEIGHT = 384, 1.0, 0.65, 4.0
+#: Features whose places a task keeps at most; more are worked out again.
+KNOWN_FEATURES = 500_000
 #: Fixed table: words that tell a concept, in either language.
 CONCEPTS = {
     "artificial_intelligence": ("artificial intelligence", "machine learning", "deep learning", "인공지능", "머신러닝", "딥러닝", "ai 기술", "ai 산업", "ai 기업"),
@@ -60,8 +62,17 @@ def hash_embedding(text: pd.Series) -> pd.Series:
     """A fixed-size signed hash of tokens, neighbouring pairs and concepts, of length 1 (all zeros for no feature)."""
     pattern = re.compile(TOKEN)
     norm = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).casefold()).strip()
+    places: dict[str, tuple[int, float]] = {}  # features met before: words repeat, and hashing one costs most
 
-    def one(value: str | None) -> list[float] | None:
+    def place(feature: str) -> tuple[int, float]:
+        if len(places) > KNOWN_FEATURES:
+            places.clear()
+        found = places.get(feature)
+        if found is None:
+            found = places[feature] = _place(feature)
+        return found
+
+    def one(value: str | None) -> np.ndarray | None:
         if value is None:
             return None
         plain = norm(value)
@@ -69,11 +80,11 @@ def hash_embedding(text: pd.Series) -> pd.Series:
         concepts = [f"concept:{c}" for c, aliases in CONCEPTS.items() if any(a in plain for a in aliases)]
         out = np.zeros(DIMENSIONS)
         for weight, features in ((TOKEN_WEIGHT, [f"token:{w}" for w in words]), (PAIR_WEIGHT, [f"bigram:{a}_{b}" for a, b in zip(words, words[1:])]), (CONCEPT_WEIGHT, concepts)):
-            for feature in features:
-                at, sign = _place(feature)
-                out[at] += sign * weight
+            if features:
+                at, sign = zip(*map(place, features))
+                out += np.bincount(at, np.multiply(sign, weight), DIMENSIONS)
         length = float(np.linalg.norm(out))
-        return (out / length if length else out).tolist()
+        return (out / length if length else out).astype(np.float32)
 
     return text.map(one)
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 #: A key starts a chunk when its hash modulo this is 0: the mean length of a chunk in keys.
 MEAN_CHUNK = 8
+#: An odd multiplier that makes the second half of a digest independent of the first.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,14 +76,17 @@ def _discard_matching(mean_chunk: int):
         h_row = table["h_row"].to_numpy().view(np.uint64)
         group = np.cumsum(start) * (int(seq.max()) + 3) + seq
         groups, inverse = np.unique(group, return_inverse=True)
-        digest = np.zeros(len(groups), dtype=np.uint64)
+        digest = np.zeros((2, len(groups)), dtype=np.uint64)  # 128 bits: 64 would let chunks of a huge table collide
         with np.errstate(over="ignore"):
-            np.add.at(digest, inverse, (h_row ^ (h_key >> np.uint64(7))) * _MIX)
+            first = h_row ^ (h_key >> np.uint64(7))
+            second = (first ^ (first >> np.uint64(29))) * _MIX
+            np.add.at(digest[0], inverse, first)
+            np.add.at(digest[1], inverse, second ^ (second >> np.uint64(32)))
         count = np.bincount(inverse, minlength=len(groups))
 
         def differs(step: int) -> np.ndarray:
             at = np.minimum(np.searchsorted(groups, groups + step), len(groups) - 1)
-            return ~((groups[at] == groups + step) & (digest[at] == digest) & (count[at] == count))
+            return ~((groups[at] == groups + step) & (digest[:, at] == digest).all(axis=0) & (count[at] == count))
 
         as_new = differs(-1)[inverse] & (seq > 1)
         as_old = differs(1)[inverse] & (seq < table["n_seq"].to_numpy())

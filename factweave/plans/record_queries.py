@@ -126,14 +126,32 @@ def _p1_sql(select: str, where: str) -> str:
     fields = ", ".join(f"trim({value(n)}, E' \\t\\n\\r') AS {n}" for n in _NAMES)
     names = ", ".join(f"'{n}'" for n in _NAMES)
     return f"""
-WITH parts AS (SELECT line_id, file_name, coalesce(regexp_full_match(raw_line, '{_LINE}'), false) AS laid, regexp_extract(raw_line, '{_LINE}', [{names}]) AS f FROM kodex_raw_lines),
-v AS (SELECT line_id, file_name, laid, {fields} FROM parts),
+WITH parts AS (SELECT line_id, file_name, line_no, raw_line, coalesce(regexp_full_match(raw_line, '{_LINE}'), false) AS laid, regexp_extract(raw_line, '{_LINE}', [{names}]) AS f FROM kodex_raw_lines),
+v AS (SELECT line_id, file_name, line_no, raw_line, laid, {fields} FROM parts),
 c AS (SELECT *, laid AND regexp_full_match(gijunYMD, '[0-9]{{8}}') AND try_strptime(gijunYMD, '%Y%m%d') IS NOT NULL
   AND (evalA = '' OR regexp_full_match(evalA, '([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)(\\.[0-9]+)?'))
   AND (ratio = '' OR (regexp_full_match(ratio, '[0-9]+(\\.[0-9]+)?') AND try_cast(ratio AS DOUBLE) <= 100)) AS valid FROM v)
 SELECT {select} FROM c WHERE {where}"""
 
 
+def _p1_reasons_sql() -> str:
+    """What breaks a line first: the longest legal beginning tells a broken layout, the fields' beginnings the rest."""
+    begin = lambda n: f"length(regexp_extract(s, '^(?:{_FIELD},){{{{{n}}}}}'))".replace("{{", "{").replace("}}", "}")
+    layout = """CASE WHEN nxt = '"' AND trim(last) = '' THEN 'unterminated_quote' WHEN nxt = '"' AND NOT contains(last, '"') THEN 'bare_quote' WHEN nxt IN (chr(10), chr(13)) THEN 'bare_line_break' ELSE 'text_after_quote' END"""
+    day = "coalesce(regexp_full_match(gijunYMD, '[0-9]{8}') AND try_strptime(gijunYMD, '%Y%m%d') IS NOT NULL, false)"
+    amount = "coalesce(evalA = '' OR regexp_full_match(evalA, '([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\\.[0-9]+)?'), false)"
+    inner = _p1_sql("line_id, file_name, line_no, raw_line, gijunYMD, evalA, ratio", "NOT valid OR valid IS NULL")
+    return f"""
+WITH bad AS ({inner}),
+a AS (SELECT *, regexp_replace(raw_line, '\\s+$', '') AS s FROM bad),
+b AS (SELECT *, regexp_extract(s, '^(?:{_FIELD},)*{_FIELD}') AS ok, regexp_replace(s, '"(?:[^"]|"")*"', '', 'g') AS bare FROM a),
+d AS (SELECT *, substr(s, length(ok) + 1, 1) AS nxt, regexp_extract(ok, '^(?:{_FIELD},)*({_FIELD})$', 1) AS last, 1 + length(bare) - length(replace(bare, ',', '')) AS n FROM b)
+SELECT line_id, file_name, line_no,
+  CASE WHEN raw_line IS NULL THEN 'no_line' WHEN length(ok) < length(s) THEN {layout} WHEN n <> 11 THEN 'field_count' WHEN NOT {day} THEN 'invalid_gijunYMD' WHEN NOT {amount} THEN 'invalid_evalA' ELSE 'invalid_ratio' END AS reason,
+  CASE WHEN raw_line IS NULL THEN NULL WHEN length(ok) < length(s) THEN length(ok) WHEN n > 11 THEN length(regexp_extract(s, '^(?:{_FIELD},){{10}}{_FIELD}')) WHEN n < 11 THEN length(s) WHEN NOT {day} THEN 0 WHEN NOT {amount} THEN {begin(8)} ELSE {begin(9)} END::INTEGER AS error_offset
+FROM d"""
+
+
 _P1_HOLDINGS = """line_id, file_name, CAST(try_strptime(gijunYMD, '%Y%m%d') AS DATE) AS "gijunYMD", nullif(fId, '') AS "fId", try_cast(totalCnt AS INTEGER) AS "totalCnt", nullif(secNm, '') AS "secNm", nullif(itmNo, '') AS "itmNo", try_cast(replace(applyQ, ',', '') AS DECIMAL(38,4)) AS "applyQ", try_cast(replace(curp, ',', '') AS DECIMAL(38,4)) AS "curp", try_cast(replace(risep, ',', '') AS DECIMAL(38,4)) AS "risep", try_cast(replace(evalA, ',', '') AS DECIMAL(38,4)) AS "evalA", try_cast(ratio AS DECIMAL(38,10)) AS "ratio", nullif(pdfType, '') AS "pdfType\""""
 
 _CELLS_SQL = r"""
@@ -213,6 +231,7 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": _p7_sql(),
         "p7_values": f"WITH {_p7_values_sql()} SELECT fact_id, metric_code, subject_entity_id, observed_on, number, CASE kind WHEN 'CURRENCY_AMOUNT' THEN CASE WHEN cur = 'KRW' THEN 'KRW' ELSE cur || '@' || observed_on END || ':' || scale WHEN 'COUNT' THEN 'SHARE:' || scale WHEN 'RATE' THEN rate END AS source_unit, CASE kind WHEN 'CURRENCY_AMOUNT' THEN 'KRW' WHEN 'COUNT' THEN 'SHARE' WHEN 'RATE' THEN 'PERCENT' END AS canonical_unit, common_value FROM x",
         "p1_found": _p1_sql("line_id", "NOT valid OR valid IS NULL"),
+        "p1_reasons": _p1_reasons_sql(),
         "p1_holdings": _p1_sql(_P1_HOLDINGS, "valid"),
         "p2_found": f"{_CELLS_SQL} SELECT source_record_id, source_column FROM f GROUP BY ALL HAVING NOT bool_or(fits)",
         **{f"p2_wide_{name.lower()}": _wide_sql(name) for name in WIDE_LAYOUT},

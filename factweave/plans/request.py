@@ -37,7 +37,11 @@ class Request:
 
 @dataclass(frozen=True)
 class Contract:
-    """What makes a metric comparable: one dataset, unit, scale and currency, and where sorting is allowed."""
+    """What makes a metric comparable: one dataset, unit, scale and currency, and where sorting is allowed.
+
+    ``currency_field``: the currency is what the request says of that field in whatever branch holds, and only then is
+    the metric comparable.
+    """
 
     metric: str
     dataset: str
@@ -45,6 +49,8 @@ class Contract:
     scale: str | None = None
     currency: str | None = None
     universes: tuple[str, ...] = ("all",)
+    #: A field that must have one certain value, which then is the currency compared in.
+    currency_field: str | None = None
 
 
 @dataclass
@@ -76,12 +82,15 @@ def gate(request: Request, catalog: Catalog) -> list[str]:
         elif f.op not in predicates.KIND_OPERATORS[spec.kind]:
             reasons.append(f"{f.field} does not take {f.op}")
     reasons += [f"unknown output {o}" for o in request.outputs if o not in catalog.fields]
-    for s in request.sort:
-        contract = catalog.contracts.get(s.field)
-        if contract is None:
-            reasons.append(f"{s.field} has no contract to sort by")
-        elif request.universe not in contract.universes:
+    listed = [s for s in request.sort if s.field in catalog.contracts]
+    if request.sort and not listed:
+        reasons.append(f"{request.sort[0].field} has no contract to sort by")
+    for s in listed:
+        contract = catalog.contracts[s.field]
+        if request.universe not in contract.universes:
             reasons.append(f"{s.field} can't be compared in {request.universe}")
+        if contract.currency_field and len(certain_values(request.tree, request.filters, contract.currency_field) or ()) != 1:
+            reasons.append(f"{s.field} needs one {contract.currency_field}")
     if request.universe != "all" and request.universe not in catalog.universes:
         reasons.append(f"unknown universe {request.universe}")
     if request.limit is not None and not request.sort and "top" in request.wishes:
@@ -158,12 +167,20 @@ def run(request: Request, catalog: Catalog, candidates: DataFrame | None = None)
     reasons = gate(request, catalog)
     if reasons:
         raise RequestRefused("; ".join(reasons))
+    kept, lost = supported_sorts(request.sort, catalog.contracts)
+    request = replace(request, sort=tuple(kept))
+    notes += [f"not sorted by {name}" for name in lost]
+    if request.limit is not None and request.limit > ranking.MAX_LIMIT:
+        notes.append(f"limit {ranking.MAX_LIMIT}")
     key = catalog.entity
     base = catalog.base if request.universe == "all" else catalog.base.join(catalog.universes[request.universe].select(key).distinct(), key, "left_semi")
     chosen = predicates.select_entities(predicates.restrict(base, key, candidates), key, request.filters, catalog.fields, request.tree)
     ranked = chosen
     for s in request.sort:
-        values = contracted(catalog.metrics, catalog.contracts[s.field]).select(F.col("entity_id").alias(key), F.col("value").alias(s.field))
+        contract = catalog.contracts[s.field]
+        if contract.currency_field:
+            contract = replace(contract, currency=next(iter(certain_values(request.tree, request.filters, contract.currency_field))))
+        values = contracted(catalog.metrics, contract).select(F.col("entity_id").alias(key), F.col("value").alias(s.field))
         ranked = ranked.join(values, key, "left")
     stats = ranking.rank_counts(ranked, key, request.sort[0].field) if request.sort else ranked.agg(F.count_distinct(key).alias("filtered_count"))
     rows = ranking.top(ranked, [(s.field, s.descending) for s in request.sort], key, request.limit) if request.sort else ranked.orderBy(key).limit(ranking.checked_limit(request.limit))

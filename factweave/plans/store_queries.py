@@ -11,6 +11,7 @@ from factweave.functions import text as ftext
 from factweave.operators import entity, findings, graph, mapping, merge, projection, quality, text, wide
 from factweave.operators.graph import Hop
 from factweave.operators.predicates import Filter, Tree
+from factweave.plans import question
 from factweave.plans import request as planning
 from factweave.session import table
 from factweave.sources import store
@@ -510,6 +511,36 @@ def lookup_forms(s, d):
     return table(s, d, "documents").where(F.col("source").rlike(r"^[\x20-\x7E]*$")).select("doc_id", ftext.lookup_form(F.col("source")).alias("form"))
 
 
+_WORDS = {
+    "아시아": [question.Term("value", "region", "ASIA")], "유럽": [question.Term("value", "region", "EUROPE")], "asia": [question.Term("value", "region", "ASIA")],
+    "경제형": [question.Term("value", "type", "ECONOMY")], "소형": [question.Term("value", "type", "SMALL")],
+    "가격": [question.Term("field", "price")], "price": [question.Term("field", "price")], "이름": [question.Term("field", "name")],
+    "공급사 7": [question.Term("relation", "SUPPLIED_BY", "s7")], "좋은": [question.Term("field", "price"), question.Term("field", "size")],
+}
+_QUESTIONS = ["아시아 경제형 중 가격 높은 순으로 상위 5", "아시아 또는 유럽의 이름 보여줘", "유럽을 제외한 소형", "price of asia", "좋은 아시아", "무지개 아시아", "아시아 100억원 이상", "공급사 7의 소형 이름"]
+
+
+@query("SELECT * FROM (VALUES ('아시아 경제형 중 가격 높은 순으로 상위 5', 'STORE', 'region eq ASIA; type eq ECONOMY', 'price desc', 5), ('아시아 또는 유럽의 이름 보여줘', 'STORE', 'region in ASIA,EUROPE', '', NULL), ('유럽을 제외한 소형', 'INCOMPLETE', 'region ne EUROPE; type eq SMALL', '', NULL), ('price of asia', 'STORE', 'region eq ASIA', '', NULL), ('좋은 아시아', 'INCOMPLETE', 'region eq ASIA', '', NULL), ('무지개 아시아', 'INCOMPLETE', 'region eq ASIA', '', NULL), ('아시아 100억원 이상', 'REFUSED', 'region eq ASIA', '', NULL), ('공급사 7의 소형 이름', 'FEDERATED', 'type eq SMALL', '', NULL)) t(question, route, filters, sort, top)")
+def parsed_questions(s, d):
+    """Questions in words: where they run, their filters, order and limit."""
+    rows = []
+    for q in _QUESTIONS:
+        p = question.parse(q, _WORDS)
+        rows.append((q, question.route(p), "; ".join(f"{f.field} {f.op} {','.join(map(str, f.values))}" for f in p.request.filters), ", ".join(f"{x.field} {'desc' if x.descending else 'asc'}" for x in p.request.sort), p.request.limit))
+    return s.createDataFrame(rows, "question string, route string, filters string, sort string, top int")
+
+
+@query("SELECT p.p_partkey FROM part p WHERE p_type = 'ECONOMY' AND EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_partkey = p.p_partkey AND r_name = 'ASIA')")
+def answered_question(s, d):
+    """A question in words run to its rows."""
+    from factweave.operators.predicates import select_entities
+    from factweave.plans.fact_queries import _catalog
+
+    asked = question.parse("아시아 경제형 보여줘", _WORDS)
+    catalog = _catalog(s, d)
+    return select_entities(catalog.base, catalog.entity, asked.request.filters, catalog.fields, asked.request.tree).select("p_partkey")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
