@@ -29,6 +29,8 @@ from factweave.session import checkpointed
 
 #: Edits a spelling may be away from another.
 MAX_EDITS = 2
+#: Names whose index is broadcast; more are joined by a shuffle.
+MAX_BROADCAST_NAMES = 100_000
 #: Letters of a spelling for each edit it may be away: short names allow fewer.
 LETTERS_PER_EDIT = 4
 #: Longer names get no spellings with exchanged syllables: their number would grow with the square of the length.
@@ -220,15 +222,21 @@ def shifted_substrings(strings: DataFrame, text: str, k: int = MAX_EDITS) -> Dat
     return strings.select("*", F.inline(F.array_distinct(F.array_compact(F.transform(listed, probe)))))
 
 
-def within_edits(left: DataFrame, right: DataFrame, exact: list[str], text: str, k: int = MAX_EDITS) -> DataFrame:
+def few(strings: DataFrame) -> bool:
+    """Whether an index over these (checkpointed) strings is small enough to broadcast."""
+    return strings.limit(MAX_BROADCAST_NAMES + 1).count() <= MAX_BROADCAST_NAMES
+
+
+def within_edits(left: DataFrame, right: DataFrame, exact: list[str], text: str, k: int = MAX_EDITS, small: bool = False) -> DataFrame:
     """All pairs of distinct strings of the same exact parts within k edits: ``exact``, ``text``, ``near``, ``edits``.
 
     Strings shorter than k + 1 letters have empty segments that match everything; they are joined by equality only.
+    ``small`` (see ``few``) sends the index to the probes, which then need no shuffle.
     """
     lookup = segments(right.select(*exact, F.col(text).alias("near")).where(F.length("near") > k), "near", k)
     probe = shifted_substrings(left.select(*exact, text).where(F.length(text) > 0), text, k)
     # exploding outgrows the planner's estimate, which would broadcast a side of any size
-    pairs = probe.join(lookup.hint("merge"), [*exact, "_len", "_seg", "_piece"]).select(*exact, text, "near").distinct()
+    pairs = probe.join(F.broadcast(lookup) if small else lookup.hint("merge"), [*exact, "_len", "_seg", "_piece"]).select(*exact, text, "near").distinct()
     verified = pairs.withColumn("edits", F.levenshtein(F.col(text), F.col("near"), k)).where("edits >= 0")
     short = left.select(*exact, text).join(right.select(*exact, text, F.col(text).alias("near")).where(F.length("near").between(1, k)), [*exact, text]).withColumn("edits", F.lit(0))
     return verified.unionByName(short)
@@ -307,9 +315,10 @@ def link_aliases(aliases: DataFrame, products: DataFrame, entities: DataFrame, k
     read = checkpointed(read_names(aliases, "alias_id", "alias", "alias_type", words))
     spellings = read.select(*exact, "part").distinct()
     proper = checkpointed(proper_names(products, organisations, words))
+    index_is_small = few(proper)
     single = proper.where("kind = 'PRODUCT'").groupBy("kind", "part").agg(F.count_distinct("exact").alias("n"), F.min("exact").alias("full")).where("n = 1").select("kind", F.lit(OPEN).alias("exact"), "part", "full")
     proper = proper.withColumn("full", F.col("exact")).unionByName(single)
-    near = within_edits(spellings, proper, exact, "part", k).join(proper.withColumnRenamed("part", "near"), [*exact, "near"])
+    near = within_edits(spellings, proper, exact, "part", k, index_is_small).join(proper.withColumnRenamed("part", "near"), [*exact, "near"])
     scored = read.join(near, [*exact, "part"]).withColumn("cost", F.col("edits") + F.col("swaps")).where(F.col("cost") <= _allowed(F.greatest(F.length("near"), F.length("part")), k))
     least = scored.groupBy("alias_id", "kind", "full", "near").agg(F.min("cost").alias("cost"))
     level = least.groupBy("alias_id", "cost").agg(F.min(F.struct("kind", "full", "near")).alias("b"), F.count(F.lit(1)).cast("int").alias("candidates"))
@@ -322,7 +331,7 @@ def link_aliases(aliases: DataFrame, products: DataFrame, entities: DataFrame, k
     strings = own.select(*exact, "part").distinct()
     probes = left.join(own.select("alias_id"), "alias_id").select(*exact, "part").distinct()
     node = lambda part: F.concat_ws("\0", "kind", "exact", part)
-    pairs = within_edits(probes, strings, exact, "part", k)
+    pairs = within_edits(probes, strings, exact, "part", k, few(own))
     first = left.join(pairs, [*exact, "part"]).where(F.col("edits") + F.col("swaps") <= _allowed(F.greatest(F.length("near"), F.length("part")), k)).select("alias_id", *exact, "near")
     links = first.join(own.select("alias_id", "part"), "alias_id").where("part <> near").select(node(F.col("part")).alias("a"), node(F.col("near")).alias("b"))
     roots = _components(links)
