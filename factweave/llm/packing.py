@@ -10,7 +10,7 @@ of the same size, until one block is left or a level settles next to nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,34 +55,54 @@ def _firsts(items: list[int], sizes: list[int], most: int) -> list[int]:
     return [i for i in items if (n := seen.get(sizes[i], 0)) < most and not seen.update({sizes[i]: n + 1})]
 
 
+class _Side:
+    """A container's items as an exchange sees them; kept until the container changes."""
+
+    def __init__(self, items: list[int], sizes: list[int]) -> None:
+        self.items = _firsts(items, sizes, 2)
+        self.sizes = np.array([sizes[i] for i in self.items], dtype=np.int64)
+
+    @cached_property
+    def with_none(self) -> np.ndarray:
+        return np.concatenate([[0], self.sizes])  # 0: a move takes nothing back
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, q = np.triu_indices(len(self.items), 1)
+        return p, q, self.sizes[p] + self.sizes[q]
+
+
 def _best_exchange(source: list[int], target: list[int], sizes: list[int], gap: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
     """Greatest gain of the target within its gap, over all items: (gain, items from the source, items from the target)."""
-    source, target = _firsts(source, sizes, 2), _firsts(target, sizes, 2)
-    a = np.array([sizes[i] for i in source])
-    b = np.array([0, *(sizes[i] for i in target)])  # 0: a move takes nothing back
+    return _exchange(_Side(source, sizes), _Side(target, sizes), gap)
+
+
+def _exchange(source: _Side, target: _Side, gap: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
     best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
 
     def better(gains: np.ndarray) -> int | None:
+        if not gains.size:
+            return None
         usable = np.where(gains <= gap, gains, -1)
-        k = int(usable.argmax()) if usable.size else 0
-        return k if usable.size and usable.flat[k] > best[0] else None
+        k = int(usable.argmax())
+        return k if usable.flat[k] > best[0] else None
 
-    single = a[:, None] - b[None, :]
+    single = source.sizes[:, None] - target.with_none[None, :]
     if (k := better(single)) is not None:
-        i, j = divmod(k, len(b))
-        best = (int(single[i, j]), (source[i],), (target[j - 1],) if j else ())
-    if best[0] < gap and len(source) > 1:  # two for one
-        p, q = np.triu_indices(len(source), 1)
-        pairs = (a[p] + a[q])[:, None] - b[None, 1:]
-        if (k := better(pairs)) is not None:
-            i, j = divmod(k, len(b) - 1)
-            best = (int(pairs[i, j]), (source[p[i]], source[q[i]]), (target[j],))
-    if best[0] < gap and len(target) > 1:  # one for two
-        p, q = np.triu_indices(len(target), 1)
-        pairs = a[:, None] - (b[1:][p] + b[1:][q])[None, :]
-        if (k := better(pairs)) is not None:
+        i, j = divmod(k, len(target.items) + 1)
+        best = (int(single[i, j]), (source.items[i],), (target.items[j - 1],) if j else ())
+    if best[0] < gap and len(source.items) > 1:  # two for one
+        p, q, total = source.pairs
+        gains = total[:, None] - target.sizes[None, :]
+        if (k := better(gains)) is not None:
+            i, j = divmod(k, len(target.items))
+            best = (int(gains[i, j]), (source.items[p[i]], source.items[q[i]]), (target.items[j],))
+    if best[0] < gap and len(target.items) > 1:  # one for two
+        p, q, total = target.pairs
+        gains = source.sizes[:, None] - total[None, :]
+        if (k := better(gains)) is not None:
             i, j = divmod(k, len(p))
-            best = (int(pairs[i, j]), (source[i],), (target[p[j]], target[q[j]]))
+            best = (int(gains[i, j]), (source.items[i],), (target.items[p[j]], target.items[q[j]]))
     return best
 
 
@@ -93,16 +113,24 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
+    sides: dict[int, _Side] = {}
+
+    def side(k: int) -> _Side:
+        if k not in sides:
+            sides[k] = _Side(bins[k], sizes)
+        return sides[k]
+
     while len(under) > 1:
         source = under[0]
         changed = False
         for target in reversed(under[1:]):
-            gain, out, back = _best_exchange(bins[source], bins[target], sizes, capacity - fill[target])
+            gain, out, back = _exchange(side(source), side(target), capacity - fill[target])
             if gain > 0 and fill[target] + gain > fill[source]:
                 bins[source] = [i for i in bins[source] if i not in out] + list(back)
                 bins[target] = [i for i in bins[target] if i not in back] + list(out)
                 fill[source] -= gain
                 fill[target] += gain
+                del sides[source], sides[target]
                 changed = True
                 if not bins[source]:
                     break
