@@ -106,6 +106,8 @@ class Chunk:
     in_doc: np.ndarray  # how many words each document has, which, and their damped counts
     held: np.ndarray
     tf: np.ndarray
+    by_word: np.ndarray  # the order of those by word, and of the features of words by feature
+    by_feature: np.ndarray
 
     @staticmethod
     def of(texts: list[list[str] | None], size: int) -> Chunk:
@@ -133,7 +135,10 @@ class Chunk:
         pairs, times = np.unique(np.repeat(doc_, n).astype(np.int64) * max(len(words), 1) + all_words, return_counts=True)
         in_doc = np.bincount(pairs // max(len(words), 1), minlength=len(texts)).astype(np.int32)
         counts = np.fromiter(map(len, features), np.int32, len(features))
-        return Chunk(doc_, sentence_, np.array(korean, np.int8), lengths, flat, np.concatenate(features).astype(np.int32) if features else np.zeros(0, np.int32), counts, in_doc, (pairs % max(len(words), 1)).astype(np.int32), (1 + np.log(times)).astype(np.float32))
+        held = (pairs % max(len(words), 1)).astype(np.int32)
+        all_features = np.concatenate(features).astype(np.int32) if features else np.zeros(0, np.int32)
+        order = lambda x: np.argsort(x, kind="stable").astype(np.int32)
+        return Chunk(doc_, sentence_, np.array(korean, np.int8), lengths, flat, all_features, counts, in_doc, held, (1 + np.log(times)).astype(np.float32), order(held), order(all_features))
 
     def packed(self) -> list[bytes]:
         return [getattr(self, name).tobytes() for name in CHUNK_ARRAYS]
@@ -148,12 +153,12 @@ class Chunk:
 
     def embedded(self, matrix: np.ndarray) -> np.ndarray:
         """Mean of the matrix's rows over each word's features."""
-        return gathered(matrix, self.features, spread(self.counts), len(self.counts)) / np.maximum(self.counts, 1)[:, None]
+        sums = gathered(matrix, self.features, spread(self.counts), len(self.counts))
+        return (sums / np.maximum(self.counts, 1)[:, None]).astype(np.float32)
 
     def to_features(self, by_word: np.ndarray, size: int) -> np.ndarray:
         """Rows of words added to the rows of their features."""
-        order = np.argsort(self.features, kind="stable")
-        return gathered(by_word, spread(self.counts)[order], self.features[order], size)
+        return gathered(by_word, spread(self.counts)[self.by_feature], self.features[self.by_feature], size)
 
     def scripts(self) -> np.ndarray:
         """1 for documents mostly in Korean sentences, else 0."""
@@ -162,7 +167,7 @@ class Chunk:
 
 
 #: The arrays of a chunk in order, with their types.
-CHUNK_ARRAYS = {"doc": np.int32, "sentence": np.int32, "korean": np.int8, "lengths": np.int32, "word": np.int32, "features": np.int32, "counts": np.int32, "in_doc": np.int32, "held": np.int32, "tf": np.float32}
+CHUNK_ARRAYS = {"doc": np.int32, "sentence": np.int32, "korean": np.int8, "lengths": np.int32, "word": np.int32, "features": np.int32, "counts": np.int32, "in_doc": np.int32, "held": np.int32, "tf": np.float32, "by_word": np.int32, "by_feature": np.int32}
 HANGUL = re.compile("[가-힣]")
 
 
@@ -174,11 +179,11 @@ def gathered(matrix: np.ndarray, rows: np.ndarray, groups: np.ndarray, n: int, w
         rows, groups, weights = rows[order], groups[order], None if weights is None else weights[order]
     for i in range(0, len(groups), GATHER):
         g = groups[i : i + GATHER]
-        values = matrix[rows[i : i + GATHER]].astype(np.float64)
+        values = matrix[rows[i : i + GATHER]]
         if weights is not None:
-            values *= weights[i : i + GATHER, None]
+            values = values * weights[i : i + GATHER, None]
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        out[g[first]] += np.add.reduceat(values, first, axis=0)
+        out[g[first]] += np.add.reduceat(values, first, axis=0, dtype=np.float64)
     return out
 
 
@@ -337,9 +342,8 @@ def _singular_vectors(chunks: DataFrame, idf: np.ndarray, p: Parameters) -> np.n
 
         def step(c: Chunk, weighted=weighted) -> np.ndarray:
             owner = spread(c.in_doc)
-            vectors = unit(gathered(c.embedded(weighted.value), c.held, owner, c.n, c.tf))
-            order = np.argsort(c.held, kind="stable")
-            return gathered(vectors, owner[order], c.held[order], len(c.counts), c.tf[order]) / np.maximum(c.counts, 1)[:, None]
+            vectors = unit(gathered(c.embedded(weighted.value), c.held, owner, c.n, c.tf)).astype(np.float32)
+            return gathered(vectors, owner[c.by_word], c.held[c.by_word], len(c.counts), c.tf[c.by_word]) / np.maximum(c.counts, 1)[:, None]
 
         total, _ = _passes(chunks, p, p.rank, step, by_word=True)
         weighted.unpersist()
@@ -389,8 +393,7 @@ def fit(documents: DataFrame, chunks: DataFrame, labels: DataFrame, subjects: Da
         def step(k: Chunk, shared=shared) -> np.ndarray:
             m = SubjectModel.of(shared.value)
             post = m.posterior(m.doc_vectors(k, k.embedded(m.matrix)), k.scripts())
-            order = np.argsort(k.held, kind="stable")
-            return np.concatenate([gathered(post, spread(k.in_doc)[order], k.held[order], len(k.counts)), post.sum(axis=0, keepdims=True)])
+            return np.concatenate([gathered(post, spread(k.in_doc)[k.by_word], k.held[k.by_word], len(k.counts)), post.sum(axis=0, keepdims=True)])
 
         counts, corpus = _passes(chunks, p, c, step, by_word=True, extra=1)
         shared.unpersist()
