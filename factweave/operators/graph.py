@@ -160,6 +160,13 @@ def same_object(rows: DataFrame, subject: str, target: str) -> DataFrame:
     return known.join(sizes, "class").select(subject, "class", "links")
 
 
+def manifest(edges: DataFrame) -> DataFrame:
+    """One row: edges, and a checksum of their numbers by relation, whatever the order of rows."""
+    counts = edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    told = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "relation", "n"))), ";")
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.sha2(told, 256).alias("checksum"))
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with an end that is no node."""
     known = nodes.select(F.col("node").alias("subject")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,3 +145,18 @@ def document_build(rows: DataFrame, text: str, sentinels: Sequence[str]) -> tupl
 def search_filters(filters: dict, fixed: dict, dropped: Sequence[str]) -> dict:
     """Filters of a search over the fact store's documents: fixed ones win, those only the store can answer are dropped."""
     return {**{k: v for k, v in filters.items() if k not in dropped}, **fixed}
+
+
+def vector_index(docs: DataFrame, doc: str, text: str, embed: Callable[[Column], Column] = T.hash_embedding, known: DataFrame | None = None) -> DataFrame:
+    """doc, text_sha256, embedding; any function from a text column to an array column will do.
+
+    Texts that ``known`` (text_sha256, embedding) holds keep their vector, and equal texts are embedded once.
+    """
+    hashed = docs.where(F.col(text).isNotNull()).select(doc, F.sha2(F.col(text), 256).alias("text_sha256"), F.col(text).alias("_text"))
+    new = hashed.select("text_sha256", "_text").dropDuplicates(["text_sha256"])
+    if known is not None:
+        new = new.join(known.select("text_sha256"), "text_sha256", "left_anti")
+    vectors = new.select("text_sha256", embed(F.col("_text")).alias("embedding"))
+    if known is not None:
+        vectors = vectors.unionByName(known.select("text_sha256", "embedding").dropDuplicates(["text_sha256"]))
+    return hashed.drop("_text").join(vectors, "text_sha256")

@@ -66,6 +66,19 @@ def layers(steps: list[Step]) -> list[list[Step]]:
     return out
 
 
+def plan_problems(steps: list[Step], asked: Mapping[str, str], covered: Mapping[str, tuple[str, ...]], constraints: list[str]) -> list[tuple[str, str]]:
+    """(code, name) of what a plan invents, omits or leaves uncovered; must be empty before it runs.
+
+    ``asked`` maps the steps a question needs to their operators, ``covered`` each planned step to (operator,
+    constraints...).
+    """
+    names = [s.name for s in steps]
+    out = [("STEP_INVENTED", n) for n in names if n not in asked] + [("STEP_OMITTED", n) for n in asked if n not in names]
+    out += [("OPERATOR_CHANGED", n) for n in names if n in asked and covered.get(n, ("",))[0] != asked[n]]
+    applied = {c for parts in covered.values() for c in parts[1:]}
+    return out + [("CONSTRAINT_NOT_COVERED", c) for c in constraints if c not in applied]
+
+
 def execute(steps: list[Step], timeout: float | None = 10.0, spark: SparkSession | None = None) -> Execution:
     """Run all steps, a layer's side by side; a step whose need did not succeed is skipped.
 

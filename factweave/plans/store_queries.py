@@ -476,10 +476,24 @@ def kept_records(s, d):
     return merge.kept_records([record("rdb", "type", "p_type"), record("graph", "size", "p_size")], chosen, "id").drop("id")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT canonical_product_id) AS products FROM canonical_products")
+@query("SELECT count(DISTINCT fact_id) AS facts, count(DISTINCT CASE WHEN subject_entity_id IN (SELECT canonical_product_id FROM source_field_assertions WHERE canonical_product_id IS NOT NULL) THEN fact_id END) AS evidenced FROM metric_observations")
 def readiness(s, d):
-    """Counts that tell whether a store may answer."""
-    return table(s, d, "canonical_products").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("canonical_product_id").alias("products"))
+    """Facts and evidenced facts: a store is ready if they are the same."""
+    facts = table(s, d, "metric_observations").select("fact_id", F.col("subject_entity_id").alias("entity_id"))
+    backed = table(s, d, "source_field_assertions").select(F.col("canonical_product_id").alias("entity_id")).dropna().distinct().withColumn("_backed", F.lit(True))
+    return facts.join(backed, "entity_id", "left").agg(F.count_distinct("fact_id").alias("facts"), F.count_distinct(F.when(F.col("_backed"), F.col("fact_id"))).alias("evidenced"))
+
+
+@query(f"SELECT count(*) = count(*) FILTER (WHERE problem IS NULL) AS ready, coalesce(string_agg(dataset_id || ' ' || problem, '; ' ORDER BY dataset_id), '') AS problems FROM ({_SELECTION_SQL})")
+def store_health(s, d):
+    """Whether the store can answer on a day, and what is missing."""
+    return store.health(snapshot_selection(s, d)).select("ready", F.array_join("problems", "; ").alias("problems"))
+
+
+@query(f"WITH {_EDGES_SQL}, c AS (SELECT relation, count(*) AS n FROM g GROUP BY 1) SELECT sum(n)::BIGINT AS edges, sha256(string_agg(relation || '=' || n, ';' ORDER BY relation)) AS checksum FROM c")
+def graph_manifest(s, d):
+    """Edges and the checksum of their counts by relation."""
+    return graph.manifest(_relations(s, d).drop("source_dataset").distinct())
 
 
 @query("SELECT source_dataset, count(*) AS assertions, count(DISTINCT source_record_id) AS records, count(*) FILTER (WHERE quality_status = 'VALID') AS valid, count(*) FILTER (WHERE nullif(trim(raw_value), '') IS NULL) AS blank, CAST(max(asserted_at) AS DATE) AS newest FROM source_field_assertions GROUP BY 1")

@@ -103,12 +103,36 @@ def html_cells(html: pd.Series) -> pd.Series:
 
 
 def html_rows(pages: DataFrame, key: str, html: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, problems): table rows of the given width with their number; pages with a row of another width."""
+    """(rows, problems): table rows of the given width with their number; pages with a row of another width.
+
+    What a page declares as its number of rows is checked by ``declared_totals``.
+    """
     parsed = pages.select(key, F.posexplode(html_cells(F.col(html))).alias("row_no", "cells"))
     good = parsed.where(F.size("cells") == width).select(key, "row_no", *[F.col("cells")[i].alias(f"c{i}") for i in range(width)])
     return good, parsed.where(F.size("cells") != width).select(key, "row_no", F.size("cells").alias("cells"))
 
 
+def declared_totals(rows: DataFrame, key: str, declared: DataFrame, total: str) -> DataFrame:
+    """key, declared, found of deliveries whose declared number of rows differs from the rows found; must be empty."""
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("found"))
+    both = declared.select(key, F.col(total).cast("bigint").alias("declared")).join(found, key, "full")
+    return both.select(key, "declared", F.coalesce("found", F.lit(0)).alias("found")).where(~F.col("declared").eqNullSafe(F.col("found")))
+
+
+def paged_items(pages: DataFrame, catalog: str, page: str, payload: str, item: str, total: str = "totalCnt", items: str = "list") -> tuple[DataFrame, DataFrame]:
+    """(items, problems) of a catalog delivered in JSON pages: each item once, and catalogs that are not whole.
+
+    ``item`` is the schema of an item and ``page`` a number from 1. A page given twice counts once; a catalog is whole if
+    its pages run from 1 without a gap and declare one total, which the items make up.
+    """
+    parsed = pages.select(catalog, F.col(page).cast("int").alias("_page"), F.from_json(F.col(payload), f"`{total}` int, `{items}` array<{item}>").alias("_p")).dropDuplicates([catalog, "_page"])
+    rows = parsed.select(catalog, F.explode(f"_p.{items}").alias("_i")).select(catalog, "_i.*").distinct()
+    told = parsed.groupBy(catalog).agg(F.count(F.lit(1)).alias("pages"), F.max("_page").alias("last_page"), F.min(f"_p.{total}").alias("declared"), F.max(f"_p.{total}").alias("_most"))
+    both = told.join(rows.groupBy(catalog).agg(F.count(F.lit(1)).alias("found")), catalog, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    whole = (F.col("pages") == F.col("last_page")) & F.col("declared").eqNullSafe(F.col("_most")) & F.col("declared").eqNullSafe(F.col("found"))
+    return rows, both.where(~F.coalesce(whole, F.lit(False))).drop("_most")
+
+
 HOLDINGS_PAYLOAD = "struct<pdf:struct<gijunYMD:string,totalCnt:int,nowCnt:int,list:array<struct<secNm:string,itmNo:string,evalA:string,applyQ:string,curp:string,ratio:string>>>>"
 
 
@@ -136,3 +160,8 @@ def merged_lines(rows: DataFrame, key: Sequence[str], content: str) -> tuple[Dat
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """path, length, sha256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def pending_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files (path, length, sha256) that the manifest does not hold with the same content: what a resumed load reads."""
+    return files.join(manifest.select("path", "sha256"), ["path", "sha256"], "left_anti")

@@ -50,13 +50,16 @@ def released(snapshots: DataFrame) -> DataFrame:
     return snapshots.where((F.upper(F.trim("status")) == "READY") & (F.upper(F.trim("reconciliation_status")) == "PASSED") & F.col("row_count_reconciled"))
 
 
-def selected_snapshots(snapshots: DataFrame, datasets: Sequence[str], day: str, versions: dict[str, str] | None = None) -> DataFrame:
+def selected_snapshots(snapshots: DataFrame, datasets: Sequence[str], day: str | None, versions: dict[str, str] | None = None) -> DataFrame:
     """dataset_id, released snapshots on the day, snapshot_id and ``problem`` (MISSING, AMBIGUOUS or NULL) per dataset.
 
     ``versions`` are further columns of the manifest and what they must hold: generation, ontology, transformer and
-    schema version. Every dataset asked for has a row.
+    schema version. Every dataset asked for has a row. Without a day the manifest must hold one released snapshot of each
+    dataset, as manifests of trusted scopes do.
     """
-    chosen = released(snapshots).where(F.col("snapshot_date") == F.lit(day).cast("date"))
+    chosen = released(snapshots)
+    if day is not None:
+        chosen = chosen.where(F.col("snapshot_date") == F.lit(day).cast("date"))
     for column, value in (versions or {}).items():
         chosen = chosen.where(F.col(column) == value)
     counted = chosen.groupBy("dataset_id").agg(F.count_distinct("snapshot_id").alias("snapshots"), F.min("snapshot_id").alias("snapshot_id"))
@@ -74,6 +77,12 @@ def chosen_ids(selection: DataFrame) -> list[str]:
     return [r["snapshot_id"] for r in rows]
 
 
+def health(selection: DataFrame) -> DataFrame:
+    """One row: ``ready`` and the problems of a selection, sorted; ready only if every dataset has its snapshot."""
+    told = F.array_sort(F.collect_list(F.when(F.col("problem").isNotNull(), F.concat_ws(" ", "dataset_id", "problem"))))
+    return selection.agg(told.alias("problems")).select((F.size("problems") == 0).alias("ready"), "problems")
+
+
 def eligible_entities(entities: DataFrame, facts: DataFrame, entity: str, snapshot: str, snapshots: Sequence[str], resolved: bool = False) -> DataFrame:
     """Entities that may be asked about and have a fact in the chosen snapshots (a resolved one if asked)."""
     inside = facts.where(F.col(snapshot).isin(list(snapshots)))
