@@ -41,7 +41,8 @@ def bm25(docs: DataFrame, doc: str, text: str, query: Sequence[str], limit: int
         idf = F.log(1 + (F.col("_s._n") - F.col(f"_s._df{i}") + 0.5) / (F.col(f"_s._df{i}") + 0.5))
         freq = F.col(f"_tf{i}").cast("double")
         score += weights[q] * idf * freq * (K1 + 1) / (freq + K1 * (1 - B + B * F.col("_len") / F.col("_s._avg")))
-    return _best(both.select(doc, score.alias("score")).where("score > 0"), doc, limit)
+    # a plain comparison would have Catalyst infer that the counts are not null, and extract the tokens again to check it
+    return _best(both.select(doc, score.alias("score")).where(F.coalesce("score", F.lit(0.0)) > 0), doc, limit)
 
 
 def _best(scored: DataFrame, key: str, limit: int | None) -> DataFrame:
